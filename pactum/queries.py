@@ -1,4 +1,373 @@
-"""Queries of the contract engine and their SQL."""
+"""Queries of the contract engine over the tables, and the SQL that gives the same rows.
+
+Most queries give key columns, ok (does the row satisfy the contract) and errors (sorted codes joined by |).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pactum import api, casing, jsonschema, parse, serialize
+from pactum import types as T
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def codes(errors: Column) -> Column:
+    return F.array_join(F.array_sort(F.transform(errors, lambda e: e["error"])), "|")
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def _check(name: str, table: str, keys: list[str], column, contract: T.Type, sql_tests: list[tuple[str, str]], where: str = "", sql_value: str | None = None, from_=None) -> None:
+    """A query of one contract on one value: sql_tests are (code, SQL condition that breaks it)."""
+
+    def run(spark, sf_dir):
+        df = _table(spark, sf_dir, table)
+        value = F.col(column) if isinstance(column, str) else column()
+        rows = df.select(*keys, value.alias("v"))
+        made = api.compile_column(F.col("v"), rows.schema["v"].dataType, contract, from_=from_)
+        return rows.select(*keys, F.coalesce(made.ok, F.lit(False)).alias("ok"), codes(made.errors).alias("errors"))
+
+    QUERIES[name] = run
+    v = sql_value or column
+    parts = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in sorted(sql_tests))
+    SQL[name] = f"""SELECT {', '.join(keys)}, NOT ({' OR '.join(f'({c})' for _, c in sql_tests)}) AS ok, concat_ws('|', {parts}) AS errors
+        FROM (SELECT {', '.join(keys)}, {v} AS v FROM {table})"""
+
+
+_Q = "l_orderkey", "l_linenumber"
+LINEITEM = T.obj(
+    T.anything, l_quantity=T.number.minimum(1).maximum(45), l_discount=T.number.exclusive_maximum(0.09), l_tax=T.number.exclusive_minimum(0.01),
+    l_returnflag=T.enum("A", "N"), l_linestatus=T.string.pattern("^[OF]$"), l_extendedprice=T.number.minimum(1000),
+)
+_LINE_SQL = {"Minimum<1>": "l_quantity < 1", "Maximum<45>": "l_quantity > 45", "ExclusiveMaximum<0.09>": "l_discount >= 0.09", "ExclusiveMinimum<0.01>": "l_tax <= 0.01", "Type<'A'|'N'>": "l_returnflag NOT IN ('A','N')", "Pattern<^[OF]$>": "NOT regexp_matches(l_linestatus, '^[OF]$')", "Minimum<1000>": "l_extendedprice < 1000"}
+_LINE_CODES = ", ".join("CASE WHEN {} THEN '{}' END".format(c, k.replace("'", "''")) for k, c in sorted(_LINE_SQL.items()))
+_LINE_OK = "NOT (" + " OR ".join(_LINE_SQL.values()) + ")"
+
+
+@query("validate_lineitem", f"SELECT l_orderkey, l_linenumber, {_LINE_OK} AS is_valid, concat_ws('|', {_LINE_CODES}) AS errors FROM lineitem")
+def validate_lineitem(spark, sf_dir):
+    checked = api.validate(_table(spark, sf_dir, "lineitem"), LINEITEM)
+    return checked.select(*_Q, F.col("_success").alias("is_valid"), codes(F.col("_errors")).alias("errors"))
+
+
+@query("is_lineitem", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE {_LINE_OK}")
+def is_lineitem(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem")
+    return df.where(api.is_valid(df, LINEITEM)).select(*_Q, "l_quantity")
+
+
+@query("quarantine_lineitem", f"SELECT l_orderkey, l_linenumber, concat_ws('|', {_LINE_CODES}) AS errors FROM lineitem WHERE NOT ({_LINE_OK})")
+def quarantine_lineitem(spark, sf_dir):
+    return api.split(_table(spark, sf_dir, "lineitem"), LINEITEM)[1].select(*_Q, codes(F.col("_errors")).alias("errors"))
+
+
+@query("errors_by_path_dataset", " UNION ALL ".join("SELECT '{}' AS path, '{}' AS error, count(*) AS n FROM lineitem WHERE {} HAVING count(*) > 0".format(c.split("(", 1)[1].split(",")[0] if "regexp" in c else c.split()[0], k.replace("'", "''"), c) for k, c in _LINE_SQL.items()))
+def errors_by_path_dataset(spark, sf_dir):
+    return api.errors_by_path(api.validate(_table(spark, sf_dir, "lineitem"), LINEITEM))
+
+
+@query("zod_issues", "SELECT l_orderkey, l_linenumber, 'l_quantity' AS path, 'Maximum<45>' AS message, 'custom' AS code FROM lineitem WHERE l_quantity > 45")
+def zod_issues(spark, sf_dir):
+    checked = api.validate(_table(spark, sf_dir, "lineitem"), T.obj(T.anything, l_quantity=T.number.maximum(45)))
+    issues = checked.select(*_Q, F.explode(api.zod_issues(F.col("_errors"))).alias("i"))
+    return issues.select(*_Q, F.array_join("i.path", ".").alias("path"), F.col("i.message").alias("message"), F.col("i.code").alias("code"))
+
+
+@query("errors_by_path", "SELECT l_orderkey, l_linenumber, 'l_quantity' AS path, 'Maximum<10>|MultipleOf<7>' AS errors FROM lineitem WHERE l_quantity > 10 AND l_quantity % 7 <> 0")
+def errors_by_path(spark, sf_dir):
+    checked = api.validate(_table(spark, sf_dir, "lineitem"), T.obj(T.anything, l_quantity=T.number.maximum(10).multiple_of(7)))
+    grouped = checked.select(*_Q, F.explode(api.group_errors_by_path(F.col("_errors"))).alias("path", "g"))
+    return grouped.select(*_Q, "path", F.array_join("g.errors", "|").alias("errors")).where(F.size(F.split("errors", r"\|")) == 2)
+
+
+_check("min_length", "documents", ["doc_id"], "text", T.string.min_length(500), [("MinLength<500>", "length(v) < 500")])
+_check("max_length", "documents", ["doc_id"], "text", T.string.max_length(3000), [("MaxLength<3000>", "length(v) > 3000")])
+_check("length_range", "part", ["p_partkey"], "p_name", T.string.length(6, 9), [("MinLength<6>", "length(v) < 6"), ("MaxLength<9>", "length(v) > 9")])
+_check("pattern", "part", ["p_partkey"], "p_brand", T.string.pattern("^Brand#[1-3][0-9]$"), [("Pattern<^Brand#[1-3][0-9]$>", "NOT regexp_matches(v, '^Brand#[1-3][0-9]$')")])
+_check("pattern_long_subject", "documents", ["doc_id"], "text", T.string.pattern("the"), [("Pattern<the>", "length(v) > 10000 OR NOT regexp_matches(v, 'the')")])
+_check("minimum", "orders", ["o_orderkey"], "o_totalprice", T.number.minimum(50000), [("Minimum<50000>", "v < 50000")])
+_check("maximum", "orders", ["o_orderkey"], "o_totalprice", T.number.maximum(200000), [("Maximum<200000>", "v > 200000")])
+_check("exclusive_minimum", "part", ["p_partkey"], "p_size", T.number.exclusive_minimum(10), [("ExclusiveMinimum<10>", "v <= 10")])
+_check("exclusive_maximum", "part", ["p_partkey"], "p_size", T.number.exclusive_maximum(40), [("ExclusiveMaximum<40>", "v >= 40")])
+_check("range", "customer", ["c_custkey"], "c_acctbal", T.number.range(0, 5000), [("Minimum<0>", "v < 0"), ("Maximum<5000>", "v > 5000")])
+_check("multiple_of", "lineitem", list(_Q), "l_quantity", T.number.multiple_of(7), [("MultipleOf<7>", "v % 7 <> 0")])
+_check("multiple_of_decimal", "part", ["p_partkey"], "p_retailprice", T.number.multiple_of(0.25), [("MultipleOf<0.25>", "abs(v / 0.25 - round(v / 0.25)) > 1e-8 * greatest(1, abs(v / 0.25))")])
+_check("min_items", "embeddings", ["vec_id"], "embedding", T.array(T.number).min_items(100), [("MinItems<100>", "len(v) < 100")])
+_check("max_items", "embeddings", ["vec_id"], "embedding", T.array(T.number).max_items(10), [("MaxItems<10>", "len(v) > 10")])
+_check("contains", "embeddings", ["vec_id"], "embedding", T.array(T.number).contains(T.number.minimum(0.2)), [("Contains<min:1>", "len(list_filter(v, lambda x: x >= 0.2)) < 1")])
+_check("min_max_contains", "embeddings", ["vec_id"], "embedding", T.array(T.number).contains(T.number.minimum(0.05), 10, 20), [("Contains<min:10>", "len(list_filter(v, lambda x: x >= 0.05)) < 10"), ("Contains<max:20>", "len(list_filter(v, lambda x: x >= 0.05)) > 20")])
+_check("unique_items", "events", ["event_id"], lambda: F.array("user_id", F.col("event_id") % 50), T.array(T.integer).unique_items(), [("UniqueItems", "v[1] = v[2]")], sql_value="[user_id, event_id % 50]")
+_check("custom_constraint", "lineitem", list(_Q), "l_quantity", T.number.custom(lambda c: c % 2 == 0, "must be even"), [("must be even", "v % 2 <> 0")])
+_check("message_override", "lineitem", list(_Q), "l_quantity", T.number.minimum(5, "too few").maximum(40).fallback_message("bad"), [("too few", "v < 5"), ("bad", "v > 40")])
+_check("literal", "events", ["event_id"], "event_type", T.literal("click"), [("Literal<''click''>", "v <> 'click'")])
+_check("enum", "orders", ["o_orderkey"], "o_orderstatus", T.enum("F", "O"), [("Type<''F''|''O''>", "v NOT IN ('F','O')")])
+_check("template_literal", "customer", ["c_custkey"], "c_name", T.template("Customer#", T.number), [("`Customer#${number}`", "NOT regexp_full_match(v, 'Customer#[0-9]+(\\.[0-9]+)?')")])
+_check("array_paths", "embeddings", ["vec_id"], "embedding", T.array(T.number), [("Type<Array>", "v IS NULL")])
+_check("tuple", "orders", ["o_orderkey"], lambda: F.struct(F.col("o_orderstatus").alias("_0"), F.col("o_totalprice").alias("_1")), T.tuple_of(T.enum("O", "F"), T.number.minimum(50000)), [("Type<''O''|''F''>", "v[1] NOT IN ('O','F')"), ("Minimum<50000>", "v[2]::double < 50000")], sql_value="[o_orderstatus, o_totalprice::varchar]")
+_check("record", "events", ["event_id"], lambda: F.create_map(F.lit("value"), "value"), T.record(T.number.minimum(20)), [("Minimum<20>", "v < 20")], sql_value="value")
+_check("property_names", "events", ["event_id"], lambda: F.create_map("event_type", "value"), T.record(T.number).property_names(T.string.max_length(5)), [("MaxLength<5>", "length(v) > 5")], sql_value="event_type")
+_check("min_max_properties", "events", ["event_id"], lambda: F.from_json("props", "map<string,double>"), T.record(T.number).properties_range(2, 3), [("MinProperties<2>", "len(json_keys(v)) < 2"), ("MaxProperties<3>", "len(json_keys(v)) > 3")], sql_value="props")
+_check("set", "orders", ["o_orderkey"], lambda: F.array("o_orderstatus", F.lit("F")), T.set_of(T.enum("F", "O")), [("Type<''F''|''O''>", "v NOT IN ('F','O')")], sql_value="o_orderstatus")
+_check("intersection", "orders", ["o_orderkey"], lambda: F.struct("o_orderstatus", "o_totalprice"), T.intersection(T.obj(o_orderstatus=T.string), T.obj(o_totalprice=T.number.maximum(200000))), [("Maximum<200000>", "v > 200000")], sql_value="o_totalprice")
+_check("requires", "events", ["event_id"], lambda: F.struct(F.col("event_type").alias("a"), F.when(F.col("value") > 50, F.col("value")).alias("b")), T.obj(a=T.string.requires("b"), b=T.number.opt()), [("Requires<b>", "v <= 50")], sql_value="value")
+_check("nullish", "events", ["event_id"], lambda: F.when(F.col("value") > 50, F.col("value")), T.number.nullish().maximum(80), [("Maximum<80>", "v > 50 AND v > 80")], sql_value="value")
+_check("not_nullable", "events", ["event_id"], lambda: F.when(F.col("value") > 50, F.col("value")), T.number.maximum(80), [("Maximum<80>", "v > 80"), ("Type<number>", "v <= 50")], sql_value="value")
+_check("mode_strict", "events", ["event_id"], lambda: F.struct("event_id", F.when(F.col("value") > 50, F.col("value")).alias("noise")), T.obj(event_id=T.integer), [("PropertyNotAllowed<noise>", "v > 50")], sql_value="value")
+_check("union", "events", ["event_id"], "event_type", T.union("click", T.string.max_length(4)), [("Type<''click''|string>", "v <> 'click' AND length(v) > 4")])
+_check("tagged_union", "events", ["event_id"], lambda: F.struct("event_type", "value"), T.union(*(T.obj(event_type=T.literal(k), value=T.number.maximum(m)) for k, m in (("click", 50), ("view", 20), ("signup", 70), ("error", 90), ("purchase", 10)))), [(f"Maximum<{m}>", f"v[1] = '{k}' AND v[2]::double > {m}") for k, m in (("click", 50), ("view", 20), ("signup", 70), ("error", 90), ("purchase", 10))], sql_value="[event_type, value::varchar]")
+
+# Formats, on values that are right for some ids and broken for others.
+_FORMATS = [
+    ("fmt_email", "email", "concat('u', {k}, CASE WHEN {k} % 3 = 0 THEN '..x' ELSE '.x' END, '@host', CASE WHEN {k} % 5 = 0 THEN '' ELSE '.org' END)", "{k} % 3 = 0 OR {k} % 5 = 0"),
+    ("fmt_uuid", "uuid", "concat('0f8fad5b-d9cb-', CASE WHEN {k} % 4 = 0 THEN '9' ELSE '4' END, '69f-a165-70867728950e')", "{k} % 4 = 0"),
+    ("fmt_ipv4", "ipv4", "concat({k} % 300, '.0.', {k} % 7, '.255')", "{k} % 300 > 255"),
+    ("fmt_ipv6", "ipv6", "concat('2001:db8::', CASE WHEN {k} % 3 = 0 THEN 'g' ELSE 'f' END, {k} % 10)", "{k} % 3 = 0"),
+    ("fmt_date", "date", "concat('2024-02-', CAST(20 + {k} % 12 AS varchar(2)))", "{k} % 12 > 9"),
+    ("fmt_date_time", "date-time", "concat('2023-02-', CAST(20 + {k} % 12 AS varchar(2)), 'T10:00:00', CASE WHEN {k} % 5 = 0 THEN '' ELSE 'Z' END)", "{k} % 12 > 8 OR {k} % 5 = 0"),
+    ("fmt_time", "time", "concat(CAST(10 + {k} % 20 AS varchar(2)), ':00:00+01:00')", "{k} % 20 > 13"),
+    ("fmt_duration", "duration", "concat('P', {k} % 9, CASE WHEN {k} % 4 = 0 THEN 'DT' ELSE 'DT1H' END)", "{k} % 4 = 0"),
+    ("fmt_byte", "byte", "concat('QUJD', CASE WHEN {k} % 3 = 0 THEN 'QQ=' ELSE 'QQ==' END)", "{k} % 3 = 0"),
+    ("fmt_object_id", "objectId", "concat('507f1f77bcf86cd79943901', CASE WHEN {k} % 3 = 0 THEN 'g' ELSE 'a' END)", "{k} % 3 = 0"),
+    ("fmt_hostname", "hostname", "concat('a', {k}, CASE WHEN {k} % 4 = 0 THEN '-' ELSE '' END, '.org')", "{k} % 4 = 0"),
+    ("fmt_url", "url", "concat(CASE WHEN {k} % 4 = 0 THEN 'mailto:' ELSE 'https://' END, 'h', {k}, '.org/p')", "{k} % 4 = 0"),
+    ("fmt_uri", "uri", "concat(CASE WHEN {k} % 4 = 0 THEN '' ELSE 'urn:' END, 'x', {k})", "{k} % 4 = 0"),
+    ("fmt_uri_reference", "uri-reference", "concat('/p', CASE WHEN {k} % 4 = 0 THEN ' ' ELSE '' END, {k})", "{k} % 4 = 0"),
+    ("fmt_uri_template", "uri-template", "concat('/p/{{id', CASE WHEN {k} % 4 = 0 THEN '' ELSE '}}' END)", "{k} % 4 = 0"),
+    ("fmt_iri", "iri", "concat(CASE WHEN {k} % 4 = 0 THEN '' ELSE 'x:' END, 'é', {k})", "{k} % 4 = 0"),
+    ("fmt_iri_reference", "iri-reference", "concat('é', CASE WHEN {k} % 4 = 0 THEN '<' ELSE '' END, {k})", "{k} % 4 = 0"),
+    ("fmt_idn_hostname", "idn-hostname", "concat('é', {k}, CASE WHEN {k} % 4 = 0 THEN '-' ELSE '' END, '.org')", "{k} % 4 = 0"),
+    ("fmt_idn_email", "idn-email", "concat('é', {k}, CASE WHEN {k} % 4 = 0 THEN '' ELSE '@é.org' END)", "{k} % 4 = 0"),
+    ("fmt_unknown", "no-such-format", "concat('a', {k})", "true"),
+    ("fmt_password", "password", "concat('a', {k})", "false"),
+    ("fmt_regex", "regex", "concat('(a', CASE WHEN {k} % 4 = 0 THEN '+)+' ELSE ')' END, {k} % 10)", "{k} % 4 = 0"),
+]
+
+
+def _format(name: str, fmt: str, value: str, broken: str) -> None:
+    made = value.format(k="o_orderkey").replace("varchar(2)", "string")
+    code = f"Format<{fmt}>"
+
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(made).alias("v"))
+        c = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.string.format(fmt))
+        return rows.select("o_orderkey", "v", F.coalesce(c.ok, F.lit(False)).alias("ok"), codes(c.errors).alias("errors"))
+
+    QUERIES[name] = run
+    b = broken.format(k="o_orderkey")
+    SQL[name] = f"SELECT o_orderkey, {value.format(k='o_orderkey')} AS v, NOT ({b}) AS ok, CASE WHEN {b} THEN '{code}' ELSE '' END AS errors FROM orders"
+
+
+for _row in _FORMATS:
+    _format(*_row)
+
+
+def _rewrite(name: str, value: str, contract: T.Type, sql: str, from_=None) -> None:
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(value).alias("v"))
+        c = api.compile_column(F.col("v"), rows.schema["v"].dataType, contract, from_=from_)
+        return rows.select("o_orderkey", c.data.cast("string").alias("v"))
+
+    QUERIES[name], SQL[name] = run, f"SELECT o_orderkey, {sql} AS v FROM orders"
+
+
+_rewrite("trim", "concat(' \t', o_orderpriority, '\n ')", T.string.trim(), "o_orderpriority")
+_rewrite("lower", "o_orderpriority", T.string.lower(), "lower(o_orderpriority)")
+_rewrite("upper", "concat('straße ', o_orderpriority)", T.string.upper(), "'STRASSE ' || upper(o_orderpriority)")
+_rewrite("capitalize", "concat('ab', o_orderpriority)", T.string.capitalize(), "'Ab' || o_orderpriority")
+_rewrite("transform_custom", "o_orderpriority", T.string.map(lambda c: F.concat(F.lit("web_"), c)), "'web_' || o_orderpriority")
+_rewrite("transform_pipe", "concat('  ', o_orderpriority)", T.string.trim().lower().capitalize(), "upper(o_orderpriority[1]) || lower(o_orderpriority[2:])")
+_rewrite("default", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END", T.string.with_default("guest"), "CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'guest' END")
+_rewrite("to_number", "CASE WHEN o_orderkey % 2 = 0 THEN concat(' ', o_orderkey, '.5 ') ELSE '0x10' END", T.number.to_number().opt(), "CASE WHEN o_orderkey % 2 = 0 THEN concat(o_orderkey, '.5') END")
+_rewrite("to_boolean", "element_at(array('yes','OFF','1','maybe'), CAST(o_orderkey % 4 AS int) + 1)", T.boolean.to_boolean().opt(), "['true','false','true',NULL][o_orderkey % 4 + 1]")
+_rewrite("to_date", "CASE WHEN o_orderkey % 2 = 0 THEN '2024-03-01T10:00:00Z' ELSE 'March' END", T.date.to_date().opt(), "CASE WHEN o_orderkey % 2 = 0 THEN '2024-03-01 10:00:00' END")
+_rewrite("coerce_query_number", "concat(o_orderkey, 'e0')", T.number.to_number(), "concat(o_orderkey, '.0')")
+
+_CASES = {"snake_case": "home_address", "SNAKE_CASE": "HOME_ADDRESS", "kebab-case": "home-address", "dot.case": "home.address", "camelCase": "homeAddress", "camelCaseID": "homeAddress", "PascalCase": "HomeAddress", "PascalCaseID": "HomeAddress"}
+_IDS = {"snake_case": "cust_id", "SNAKE_CASE": "CUST_ID", "kebab-case": "cust-id", "dot.case": "cust.id", "camelCase": "custId", "camelCaseID": "custID", "PascalCase": "CustId", "PascalCaseID": "CustID"}
+
+
+def _case(target: str) -> None:
+    def run(spark, sf_dir):
+        df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custId"), F.col("c_name").alias("home_Address"))
+        return casing.convert_casing(df, target)
+
+    name = "case_" + {"SNAKE_CASE": "upper_snake"}.get(target, target.replace("-", "_").replace(".", "_").replace("_case", "").replace("Case", "").lower())
+    QUERIES[name], SQL[name] = run, f'SELECT c_custkey AS "{_IDS[target]}", c_name AS "{_CASES[target]}" FROM customer'
+
+
+for _target in _CASES:
+    _case(_target)
+
+
+@query("case_preserve_ends", 'SELECT c_custkey AS "custKey", c_name AS "cName" FROM customer')
+def case_preserve_ends(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_cust_key$"), F.col("c_name").alias("__c_name"))
+    return casing.convert_casing(df, "camelCase", preserve_ends=False)
+
+
+# JSON Schema, on JSON made from rows.
+_ORDER_JSON = "to_json(named_struct('id', o_orderkey, 'status', o_orderstatus, 'total', o_totalprice, 'note', CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, 'tags', array(o_orderstatus, 'F', CAST(o_orderkey % 4 AS string))))"
+_SCHEMAS = {
+    "all_of": ({"allOf": [{"type": "object", "properties": {"total": {"minimum": 50000}}, "additionalProperties": True}, {"properties": {"status": {"enum": ["F", "O"]}}}]}, "o_totalprice >= 50000 AND o_orderstatus IN ('F','O')"),
+    "any_of": ({"anyOf": [{"properties": {"total": {"maximum": 50000}}}, {"properties": {"status": {"const": "F"}}}]}, "o_totalprice <= 50000 OR o_orderstatus = 'F'"),
+    "one_of": ({"oneOf": [{"properties": {"total": {"maximum": 50000}}}, {"properties": {"status": {"const": "F"}}}]}, "(o_totalprice <= 50000) <> (o_orderstatus = 'F')"),
+    "not": ({"not": {"properties": {"status": {"const": "F"}}}}, "o_orderstatus <> 'F'"),
+    "if_then_else": ({"if": {"properties": {"status": {"const": "F"}}}, "then": {"properties": {"total": {"minimum": 100000}}}, "else": {"properties": {"total": {"maximum": 100000}}}}, "CASE WHEN o_orderstatus = 'F' THEN o_totalprice >= 100000 ELSE o_totalprice <= 100000 END"),
+    "pattern_properties": ({"patternProperties": {"^to": {"maximum": 100000}}}, "o_totalprice <= 100000"),
+    "additional_properties": ({"type": "object", "properties": {"id": True, "status": True, "total": True, "tags": True}}, "o_orderkey % 3 <> 0"),
+    "additional_properties_schema": ({"properties": {"id": True, "total": True, "tags": True, "status": True}, "additionalProperties": {"pattern": "^1"}}, "o_orderkey % 3 <> 0 OR o_orderpriority LIKE '1%'"),
+    "dependent_required": ({"dependentRequired": {"note": ["reason"]}}, "o_orderkey % 3 <> 0"),
+    "dependent_schemas": ({"dependentSchemas": {"note": {"properties": {"total": {"maximum": 100000}}}}}, "o_orderkey % 3 <> 0 OR o_totalprice <= 100000"),
+    "dependencies": ({"dependencies": {"note": ["total"], "status": {"properties": {"total": {"maximum": 100000}}}}}, "o_totalprice <= 100000"),
+    "prefix_items": ({"properties": {"tags": {"prefixItems": [{"const": "F"}, True], "items": {"type": "number", "maximum": 2}}}}, "false"),
+    "additional_items": ({"properties": {"tags": {"items": [{"enum": ["F", "O"]}, {"type": "string"}], "additionalItems": {"type": "string", "pattern": "^[0-2]$"}}}}, "o_orderstatus IN ('F','O') AND o_orderkey % 4 <= 2"),
+    "items_false": ({"properties": {"tags": {"prefixItems": [True, True], "items": False}}}, "false"),
+    "unevaluated_properties": ({"allOf": [{"properties": {"id": True, "status": True}}, {"properties": {"total": True, "tags": True}}], "unevaluatedProperties": False}, "o_orderkey % 3 <> 0"),
+    "unevaluated_items": ({"properties": {"tags": {"anyOf": [{"prefixItems": [{"const": "F"}, True, True]}, {"prefixItems": [True, True]}], "unevaluatedItems": False}}}, "o_orderstatus = 'F'"),
+    "contains_schema": ({"properties": {"tags": {"contains": {"const": "F"}, "minContains": 2}}}, "o_orderstatus = 'F'"),
+    "ref": ({"$defs": {"money": {"minimum": 50000}}, "properties": {"total": {"$ref": "#/$defs/money"}}}, "o_totalprice >= 50000"),
+    "anchor": ({"$defs": {"m": {"$anchor": "money", "minimum": 50000}}, "properties": {"total": {"$ref": "#money"}}}, "o_totalprice >= 50000"),
+    "recursive_ref": ({"anyOf": [{"type": ["string", "number", "null"]}, {"type": "array", "items": {"$recursiveRef": "#"}}, {"properties": {"total": {"maximum": 100000}}, "additionalProperties": {"$ref": "#"}, "type": "object"}]}, "o_totalprice <= 100000"),
+    "dynamic_ref": ({"$dynamicAnchor": "node", "properties": {"total": {"maximum": 100000}, "tags": {"items": {"$dynamicRef": "#node"}}}}, "o_totalprice <= 100000"),
+    "type_array": ({"properties": {"note": {"type": ["null", "number"]}}}, "o_orderkey % 3 <> 0"),
+    "typeless": ({"minProperties": 5, "minLength": 99, "minimum": 9}, "o_orderkey % 3 = 0"),
+    "draft4_exclusive": ({"properties": {"id": {"minimum": 100, "exclusiveMinimum": True}}}, "o_orderkey > 100"),
+    "bool_schema": ({"properties": {"note": False}}, "o_orderkey % 3 <> 0"),
+    "const_deep": ({"properties": {"tags": {"const": ["F", "F", "1"]}}}, "o_orderstatus = 'F' AND o_orderkey % 4 = 1"),
+    "property_names_schema": ({"propertyNames": {"maxLength": 4}}, "false"),
+    "required": ({"required": ["note"]}, "o_orderkey % 3 = 0"),
+}
+
+
+def _schema(name: str, schema, sql: str) -> None:
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER_JSON).alias("j"))
+        return rows.select("o_orderkey", jsonschema.is_schema(F.col("j"), schema).alias("ok"))
+
+    QUERIES[name], SQL[name] = run, f"SELECT o_orderkey, {sql} AS ok FROM orders"
+
+
+for _name, (_s, _sql) in _SCHEMAS.items():
+    _schema(_name, _s, _sql)
+
+
+@query("content_encoding", "SELECT event_id, json_extract(props, '$.k')::double >= 50 AS ok FROM events")
+def content_encoding(spark, sf_dir):
+    schema = {"contentEncoding": "base64", "contentMediaType": "application/json", "contentSchema": {"properties": {"k": {"minimum": 50}}}}
+    return _table(spark, sf_dir, "events").select("event_id", jsonschema.is_schema(F.concat(F.lit('"'), F.base64(F.col("props").cast("binary")), F.lit('"')), schema).alias("ok"))
+
+
+@query("json_schema_emit", """SELECT '{"type": "object", "properties": {"a": {"type": "string", "minLength": 2}, "b": {"type": "number"}}, "additionalProperties": false, "required": ["a"]}' AS schema""")
+def json_schema_emit(spark, sf_dir):
+    import json
+
+    return spark.range(1).select(F.lit(json.dumps(jsonschema.json_schema(T.obj(a=T.string.min_length(2), b=T.number.opt())))).alias("schema"))
+
+
+@query("parse_json", "SELECT event_id, json_extract(props, '$.k')::double <= 50 AS ok, CASE WHEN json_extract(props, '$.k')::double <= 50 THEN json_extract(props, '$.k')::double END AS k FROM events")
+def parse_json(spark, sf_dir):
+    got = _table(spark, sf_dir, "events").select("event_id", parse.parse(F.col("props"), T.obj(k=T.number.maximum(50))).alias("p"))
+    return got.select("event_id", "p.ok", F.col("p.data.k").alias("k"))
+
+
+@query("parse_json_invalid", "SELECT event_id, event_id % 3 <> 0 AS ok, CASE WHEN event_id % 3 = 0 THEN 'Invalid JSON' END AS message FROM events")
+def parse_json_invalid(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" {}"))).otherwise(F.col("props"))
+    got = _table(spark, sf_dir, "events").select("event_id", parse.parse(text, T.obj(k=T.number)).alias("p"))
+    return got.select("event_id", "p.ok", F.col("p.error.message").alias("message"))
+
+
+@query("parse_string", "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::double END AS v FROM orders")
+def parse_string(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("x")).alias("s"))
+    return rows.select("o_orderkey", parse.parse(F.col("s"), T.number, "string").alias("p")).select("o_orderkey", "p.ok", F.col("p.data").alias("v"))
+
+
+@query("parse_query", "SELECT o_orderkey, o_orderkey::double AS page, concat('a b', o_orderkey) AS q, 'x,y' AS tags FROM orders")
+def parse_query(spark, sf_dir):
+    text = F.concat(F.lit("q=a+b"), "o_orderkey", F.lit("&page="), "o_orderkey", F.lit("&tags=x&tags=y"))
+    t = T.obj(q=T.string.trim().min_length(1), page=T.number.minimum(0), tags=T.array(T.string).opt())
+    got = _table(spark, sf_dir, "orders").select("o_orderkey", parse.parse(text, t, "query").alias("p"))
+    return got.select("o_orderkey", F.col("p.data.page").alias("page"), F.col("p.data.q").alias("q"), F.array_join("p.data.tags", ",").alias("tags"))
+
+
+@query("parse_query_brackets", """SELECT o_orderkey, concat('{"a": [{"n": "x", "r": "', o_orderkey, '"}, {"n": "y"}], "b": {"c": "1"}}') AS json FROM orders""")
+def parse_query_brackets(spark, sf_dir):
+    text = F.concat(F.lit("a[][n]=x&a[][r]="), "o_orderkey", F.lit("&a[][n]=y&b[c]=1&__proto__[z]=1"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", parse.query_to_json(text).alias("json"))
+
+
+@query("stringify_json", """SELECT n_nationkey, concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}') AS json FROM nation""")
+def stringify_json(spark, sf_dir):
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return df.select("n_nationkey", serialize.json_text(F.struct(*df.columns), df.schema).alias("json"))
+
+
+@query("stringify_query", "SELECT n_nationkey, concat('n_name=', replace(n_name, ' ', '%20'), '&r%5Bid%5D=', n_regionkey, '&l%5B%5D=1&l%5B%5D=', n_nationkey) AS q FROM nation")
+def stringify_query(spark, sf_dir):
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("id")).alias("r"), F.array(F.lit(1), F.col("n_nationkey")).alias("l"))
+    kind = df.drop("n_nationkey").schema
+    return df.select("n_nationkey", serialize.query_text(F.struct("n_name", "r", "l"), kind).alias("q"))
+
+
+@query("stringify_modes", """SELECT n_nationkey, concat('{"n_name":"', n_name, '"}') AS strip, concat('{"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}') AS relaxed FROM nation""")
+def stringify_modes(spark, sf_dir):
+    df = _table(spark, sf_dir, "nation")
+    kind, t, c = df.select("n_name", "n_regionkey").schema, T.obj(n_name=T.string), F.struct("n_name", "n_regionkey")
+    return df.select("n_nationkey", serialize.json_text(c, kind, t).alias("strip"), serialize.json_text(c, kind, t, "relaxed").alias("relaxed"))
+
+
+@query("roundtrip", "SELECT o_orderkey, true AS same FROM orders")
+def roundtrip(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    t = T.obj(o_orderkey=T.integer, o_totalprice=T.number, o_orderstatus=T.string)
+    back = df.select("*", parse.parse(serialize.json_text(F.struct(*df.columns), df.schema, t), t).alias("p"))
+    return back.select("o_orderkey", ((F.col("p.data.o_totalprice") == F.col("o_totalprice")) & (F.col("p.data.o_orderstatus") == F.col("o_orderstatus"))).alias("same"))
+
+
+def _mode(mode: str) -> None:
+    def run(spark, sf_dir):
+        df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        checked = api.validate(df, T.obj(n_name=T.string.lower()), mode=mode)
+        return checked.select("n_nationkey", F.to_json("_data").alias("data"))
+
+    QUERIES[f"mode_{mode}"] = run
+    tail = """, '"}'""" if mode == "strip" else """, '","n_nationkey":', n_nationkey, '}'"""
+    SQL[f"mode_{mode}"] = f"""SELECT n_nationkey, concat('{{"n_name":"', lower(n_name){tail}) AS data FROM nation"""
+
+
+_mode("strip")
+_mode("relaxed")
+
+
+@query("stream_validate", "SELECT event_id, value <= 60 AS ok FROM events")
+def stream_validate(spark, sf_dir):
+    """The same expressions on a file stream, run to its end into a table of the shared folder."""
+    import tempfile
+    import uuid
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/pactum-stream"
+    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
+    checked = api.validate(stream, T.obj(T.anything, value=T.number.maximum(60))).select("event_id", F.col("_success").alias("ok"))
+    run = checked.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("event_id long, ok boolean").parquet(f"{root}/out")
