@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.bpe import _slices
+from pactum.llm.store import Workspace
 from pactum.llm.units import Encoder
 
 #: Lengths in a block of the running sums.
@@ -54,6 +55,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     the next length below, see truncated(). An empty table gives an empty histogram.
     """
     by = counted.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # Three steps below read the histogram; written, it is counted once.
+    by = Workspace(counted.sparkSession, "counts").cut(by, "histogram")
     sums = by.groupBy("block").agg(F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("n_tokens")).alias("t"))
     # One row for each 1024 lengths; blocks of blocks keep this step small as well.
     sums = sums.withColumn("over", F.floor(F.col("block") / BLOCK))
