@@ -187,8 +187,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     rows = work.cut(_describe(texts, size, percent, cells), "sets")
 
     full = rows.where("n > 0")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    members = work.cut(rows.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    copies = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    copies = work.cut(copies, "copies")
+    members = work.cut(rows.select("id", "n", "f1", "f2").join(copies, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     reps = members.where("n > 0").select(F.col("rep").alias("id")).distinct()
     entries = full.join(reps, "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
