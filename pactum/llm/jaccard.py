@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.components import components
+from pactum.llm.components import components, dealt
 from pactum.llm.store import Workspace
 from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
@@ -34,6 +34,8 @@ SKETCH_BITS = 20
 _BLOCK = 1 << 16
 #: At most so many ids (of 8 bytes or a short string) are broadcast; beyond, Spark joins by a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs that one task verifies where there are few.
+PAIRS = 256
 #: Rounds of leaders before what is left is joined, unless little is left before.
 ROUNDS = 6
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
@@ -128,9 +130,10 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - c(x, "pos"), ny - c(y, "pos")) >= least) & (apart <= nx + ny - 2 * least)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets link."""
-    ids = work.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+def _verify(pairs: DataFrame, rows: int, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
+    """Those of the distinct pairs (a, b), so many rows, whose whole sets link."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    ids = work.cut(dealt(ids, rows, "id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
 
     def collect(parts):
@@ -142,7 +145,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, work: W
     kind = texts.schema["id"].dataType.simpleString()
     sets = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(collect, f"id {kind}, own binary")
     sets = work.cut(sets, "sets")
-    wide = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    by = lambda df, key: dealt(df, rows, key, PAIRS)
+    wide = by(pairs, "a").join(by(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a"), "a")
+    wide = by(wide, "b").join(by(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b"), "b")
 
     def test(parts):
         for batch in parts:
@@ -155,19 +160,19 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, work: W
             if out.num_rows:
                 yield out
 
-    links = work.cut(wide.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}").distinct(), "links")
+    links = work.cut(by(wide.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}"), "a").distinct(), "links")
     work.drop(sets, ids)
     return links
 
 
-def _merge(comps: DataFrame | None, links: DataFrame, work: Workspace) -> DataFrame:
+def _merge(comps: DataFrame | None, links: DataFrame, rows: int, work: Workspace) -> DataFrame:
     """Components after more links: (id, component) of those that aren't the least of theirs."""
     if comps is None:
-        return components(links, work)
+        return components(links, rows, work)
     known = comps.select(F.col("id").alias("k"), F.col("component").alias("c"))
     named = links.join(known, links.a == known.k, "left").select(F.coalesce("c", "a").alias("a"), "b")
     named = named.join(known, named.b == known.k, "left").select("a", F.coalesce("c", "b").alias("b"))
-    more = components(named, work)
+    more = components(named, rows, work)
     moved = more.select(F.col("id").alias("k"), F.col("component").alias("c"))
     old = comps.join(moved, comps.component == moved.k, "left").select("id", F.coalesce("c", "component").alias("component"))
     return work.cut(old.unionByName(more.join(comps, "id", "left_anti")), "components")
@@ -231,10 +236,13 @@ def _step(pairs: DataFrame, comps, tested, texts: DataFrame, size: int, percent:
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     pairs = work.cut(pairs, "pairs")
-    links = _verify(pairs, texts, size, percent, work)
+    rows = pairs.count()
+    if not rows:
+        return comps, tested, 0
+    links = _verify(pairs, rows, texts, size, percent, work)
     found = links.count()
     tested = pairs if tested is None else tested.unionByName(pairs)
-    return _merge(comps, links, work) if found else comps, tested, found
+    return _merge(comps, links, found, work) if found else comps, tested, found
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
