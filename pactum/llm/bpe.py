@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from pactum.llm.units import Encoder, id_lists
 
+#: Pieces kept by a worker, about 125 MB: it holds the vocabulary and its own tables besides.
+KEPT = 1 << 19
+
 _WORD = 8  # bits of a rank that index a lower word
 
 
@@ -39,7 +42,7 @@ class Ranks:
         lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.table, self.lengths, self.offsets = np.frombuffer(b"".join(self.tokens), np.uint8), lengths, np.cumsum(lengths) - lengths
         self.lower = [0] * ((size >> _WORD) + 1)
-        self.encoder = Encoder(self.encode_pieces)
+        self.encoder = Encoder(self.encode_pieces, KEPT)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
