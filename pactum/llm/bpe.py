@@ -1,26 +1,32 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The bytes of a pre-token form a linked list. Each adjacent pair whose bytes together are a token waits in the bucket
-of that token's rank. A bitmap of two levels says which buckets hold something: find-first-set on the upper word
-gives a lower word, find-first-set there gives the rank. The bucket's smallest position is taken, entries that a merge
-made stale are skipped, and a merge enters its two new pairs. Each step costs the same whatever the length, so a
-pre-token of n bytes takes O(n) merges of O(1) bitmap work (and a heap step in its bucket), not O(n * n).
+The bytes of many pre-tokens form one linked list, with a wall between any two that no token reaches across. Each
+adjacent pair whose bytes together are a token waits in the bucket of that token's rank. A bitmap of two levels says
+which buckets hold something: find-first-set on the upper word gives a lower word, find-first-set there gives the
+rank. The bucket's positions are merged from left to right, entries that a merge made stale are skipped, and a merge
+enters its two new pairs; one of a lower rank goes before the rest of the bucket. Each step costs the same whatever
+the length, so n bytes take O(n) merges (and the sorting of buckets), not O(n * n).
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.units import Encoder, id_lists
+from pactum.llm.units import KEPT, LONGEST, Encoder, id_lists
 
 _WORD = 8  # bits of a rank that index a lower word
+#: Pieces kept by a worker besides KEPT pre-tokens, of which pieces are made.
+PIECES = 1 << 17
+_WALL = 256  # follows the values of a byte
+#: Bytes of pre-tokens that share a queue; a longer pre-token has one of its own.
+BATCH = 1 << 17
 
 
 class Ranks:
@@ -39,67 +45,113 @@ class Ranks:
         lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.table, self.lengths, self.offsets = np.frombuffer(b"".join(self.tokens), np.uint8), lengths, np.cumsum(lengths) - lengths
         self.lower = [0] * ((size >> _WORD) + 1)
-        self.encoder = Encoder(self.encode_pieces)
+        # Of bytes and of the wall: the id, the bytes, and the rank of each pair. A wall is longer than any token.
+        wall = b"\0" * (int(lengths.max()) + 1)
+        self.bytes = [bytes([b]) for b in range(256)] + [wall]
+        self.units = np.array([self.ranks[b] for b in self.bytes[:256]] + [-1])
+        self.pairs = np.full((257, 257), -1, np.int64)
+        for token in (t for t in self.tokens if len(t) == 2):
+            self.pairs[token[0], token[1]] = self.ranks[token]
+        self.known: dict[str, bytes] = {}
+        self.encoder = Encoder(self.encode_pieces, PIECES)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, tokens, lower = self.ranks, self.tokens, self.lower
-        whole = ranks.get(data)
-        if whole is not None:
-            return [whole]
-        n = len(data)
-        ids = [ranks[data[k : k + 1]] for k in range(n)]
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else np.frombuffer(self.merge_all([data])[0], np.uint32).tolist()
+
+    def merge_all(self, pretokens: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as unsigned 32-bit little-endian bytes; all lie in one list, with walls between them."""
+        find, tokens, lower = self.ranks.get, self.tokens, self.lower
+        line = np.frombuffer(b"\0" + b"\0".join(pretokens) + b"\0", np.uint8).astype(np.int64)
+        walls = np.cumsum([0, *(len(t) + 1 for t in pretokens)])
+        line[walls] = _WALL
+        ids, parts = self.units[line].tolist(), [self.bytes[b] for b in line.tolist()]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = [-1] * n  # the rank under which the pair at a position waits; -1: none
+        # The rank under which the pair at a position waits; -1: none.
+        first = np.append(self.pairs[line[:-1], line[1:]], -1)
+        waiting = first.tolist()
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        starts = np.flatnonzero(np.diff(first[order], prepend=-1))
         buckets: dict[int, list[int]] = {}
         upper = 0
 
-        for k in range(n - 1):
-            rank = ranks.get(data[k : k + 2])
-            if rank is not None:
-                waiting[k] = rank
-                if rank in buckets:
-                    buckets[rank].append(k)
-                else:
-                    buckets[rank] = [k]
-                    upper |= 1 << (rank >> _WORD)
-                    lower[rank >> _WORD] |= 1 << (rank & 255)
+        for rank, bucket in zip(first[order][starts].tolist(), np.split(order, starts[1:]) if len(starts) else ()):
+            buckets[rank] = bucket.tolist()
+            upper |= 1 << (rank >> _WORD)
+            lower[rank >> _WORD] |= 1 << (rank & 255)
         while upper:
             word = (upper & -upper).bit_length() - 1
             bits = lower[word]
             rank = word << _WORD | (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                bits &= bits - 1
-                lower[word] = bits
-                if not bits:
-                    upper &= upper - 1
-            if waiting[at] != rank:
-                continue
-            gone = after[at]
-            ids[at], ids[gone], waiting[gone] = rank, -1, -1
-            right = after[gone]
-            after[at] = right
-            if right < n:
-                before[right] = at
-            for left, other in ((before[at], at), (at, right)):
-                if left < 0:
+            lower[word] = bits & (bits - 1)
+            if not lower[word]:
+                upper &= upper - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            token = tokens[rank]
+            for done, at in enumerate(bucket, 1):
+                if waiting[at] != rank:
                     continue
-                new = ranks.get(tokens[ids[left]] + tokens[ids[other]], -1) if other < n else -1
-                waiting[left] = new
-                if new >= 0:
-                    if new in buckets:
-                        heappush(buckets[new], left)
-                    else:
-                        buckets[new] = [left]
-                        upper |= 1 << (new >> _WORD)
-                        lower[new >> _WORD] |= 1 << (new & 255)
-        return [i for i in ids if i >= 0]
+                gone = after[at]
+                left, right = before[at], after[gone]
+                ids[at], ids[gone], waiting[gone], parts[at] = rank, -1, -1, token
+                after[at], before[right] = right, at
+                lowest = rank
+                for place, pair in ((at, token + parts[right]), (left, parts[left] + token)):
+                    waiting[place] = new = find(pair, -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(place)
+                        else:
+                            buckets[new] = [place]
+                            upper |= 1 << (new >> _WORD)
+                            lower[new >> _WORD] |= 1 << (new & 255)
+                            if new < lowest:
+                                lowest = new
+                if lowest < rank:  # a lower rank goes before the rest of this one
+                    if done < len(bucket):
+                        buckets[rank] = bucket[done:]
+                        upper |= 1 << word
+                        lower[word] |= 1 << (rank & 255)
+                    break
+        made = np.array(ids, np.int64)
+        kept = made >= 0
+        ends = np.cumsum(kept)[walls] * 4
+        flat = made[kept].astype("<u4").tobytes()
+        return [flat[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array([i for token in self.split(piece) for i in self.merge(token.encode())], np.uint32).tobytes() for piece in pieces]
+        known, split = self.known, [tokens if len(tokens := self.split(piece)) > 1 else [piece] for piece in pieces]
+        if len(known) > KEPT:
+            known.clear()
+        long, batch, size = [], [], 0
+
+        def flush():
+            known.update(zip(batch, self.merge_all([t.encode() for t in batch])))
+            batch.clear()
+
+        for token in set(chain.from_iterable(split)).difference(known):
+            data = token.encode()
+            whole = self.ranks.get(data)
+            if len(token) > LONGEST:
+                long.append(token)
+            if whole is not None:
+                known[token] = whole.to_bytes(4, "little")
+                continue
+            batch.append(token)
+            size += len(data)
+            if size >= BATCH:
+                flush()
+                size = 0
+        if batch:
+            flush()
+        out = [b"".join(map(known.__getitem__, tokens)) for tokens in split]
+        for token in long:
+            del known[token]
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a run of ids."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ def pieces(text: str) -> list[str]:
 class Encoder:
     """encode: ids of a list of pieces as one bytes object each, unsigned 32-bit little-endian."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
+        self.encode, self.kept, self.known = encode, kept, {}
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         group, size = [], 0
@@ -46,17 +47,17 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.known.clear()
         known, split = self.known, [pieces(t) if t else [] for t in texts]
-        new = list({p for ps in split for p in ps if p not in known})
+        new = list(set(chain.from_iterable(split)).difference(known))
         rare = []
         for piece, ids in zip(new, self.encode(new) if new else ()):
             known[piece] = ids
             if len(piece) > LONGEST:
                 rare.append(piece)
         for ps in split:
-            yield b"".join([known[p] for p in ps])
+            yield b"".join(map(known.__getitem__, ps))
         for piece in rare:
             del known[piece]
 

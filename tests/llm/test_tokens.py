@@ -51,6 +51,28 @@ def test_very_long_pre_token(reference):
     assert codec.merge(word.encode()) == reference.encode_ordinary(word)
 
 
+def test_a_merge_may_make_a_pair_of_a_lower_rank(tmp_path):
+    # "bc" has rank 300, what it makes with its neighbours has lower ranks.
+    table = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 270, b"abcd": 260, b"cb": 290, b"cbc": 310, b"aa": 280, b"bcbc": 265}
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in table.items()))
+    codec = bpe.Ranks(str(tmp_path / "ranks"), r"\w+|\W+")
+    library = tiktoken.Encoding("lower", pat_str=r"\w+|\W+", mergeable_ranks=table, special_tokens={}, explicit_n_vocab=None)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 30))) for _ in range(500)] + ["bc" * 40, "abcd" * 30]
+    for w, ids in zip(words, codec.encode_pieces(words)):
+        assert np.frombuffer(ids, np.uint32).tolist() == library.encode_ordinary(w) == codec.merge(w.encode()), w
+    assert not any(codec.lower)
+
+
+def test_ids_do_not_depend_on_what_a_worker_keeps(monkeypatch):
+    want = list(bpe.Ranks(RANKS, P.PATTERN).encoder.texts(texts()))
+    for name, value in (("KEPT", 5), ("PIECES", 5), ("BATCH", 7)):
+        monkeypatch.setattr(bpe, name, value)
+    codec = bpe.Ranks(RANKS, P.PATTERN)
+    for _ in range(2):
+        assert [x for t in texts() for x in codec.encoder.texts([t])] == want
+
+
 def rows():
     out = [(k, t, "c") for k, t in enumerate(texts())] + [(1000, None, None), (1000, "again", "c"), (1001, "long text, " * 200_000, "c")]
     random.Random(2).shuffle(out)
