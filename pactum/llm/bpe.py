@@ -30,9 +30,12 @@ BATCH = 1 << 17
 
 
 class Ranks:
-    """Vocabulary of a ranks file: one base64 token and its rank a line. The file's path is a parameter."""
+    """Vocabulary of a ranks file: one base64 token and its rank a line. The file's path is a parameter.
 
-    def __init__(self, path: str, pattern: str):
+    kept: pre-tokens whose ids a worker keeps, about 160 bytes each; fewer take more time and give the same ids.
+    """
+
+    def __init__(self, path: str, pattern: str, kept: int | None = None):
         import regex
 
         with open(path, "rb") as f:
@@ -52,8 +55,9 @@ class Ranks:
         self.pairs = np.full((257, 257), -1, np.int64)
         for token in (t for t in self.tokens if len(t) == 2):
             self.pairs[token[0], token[1]] = self.ranks[token]
+        self.kept = KEPT if kept is None else kept
         self.known: dict[str, bytes] = {}
-        self.encoder = Encoder(self.encode_pieces, PIECES)
+        self.encoder = Encoder(self.encode_pieces, min(PIECES, self.kept))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -125,7 +129,7 @@ class Ranks:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         known, split = self.known, [tokens if len(tokens := self.split(piece)) > 1 else [piece] for piece in pieces]
-        if len(known) > KEPT:
+        if len(known) > self.kept:
             known.clear()
         long, batch, size = [], [], 0
 
@@ -162,23 +166,23 @@ class Ranks:
 
 
 @functools.cache
-def ranks(path: str, pattern: str) -> Ranks:
+def ranks(path: str, pattern: str, kept: int | None = None) -> Ranks:
     """One for each worker and file."""
-    return Ranks(path, pattern)
+    return Ranks(path, pattern, kept)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kept: int | None = None) -> DataFrame:
     """One row per document: id, ids (array of int), decoded (the bytes of the ids).
 
     Whole texts; null and empty ones have no ids. Names of special tokens in a text are ordinary text. Repeated rows
-    give a row each, other columns are not read, an empty table gives none.
+    give a row each, other columns are not read, an empty table gives none. kept: see Ranks.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(parts):
-        codec = ranks(path, pattern)
+        codec = ranks(path, pattern, kept)
         for batch in parts:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in _slices(batch.column(1), 1 << 20):
                 encoded = list(codec.encoder.texts(batch.column(1)[lo:hi].to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], id_lists(encoded), pa.array([codec.decode(np.frombuffer(x, np.uint32)).tobytes() for x in encoded], pa.binary())],

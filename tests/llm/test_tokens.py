@@ -68,8 +68,7 @@ def test_ids_do_not_depend_on_what_a_worker_keeps(monkeypatch):
     want = list(bpe.Ranks(RANKS, P.PATTERN).encoder.texts(texts()))
     for name, value in (("KEPT", 5), ("PIECES", 5), ("BATCH", 7)):
         monkeypatch.setattr(bpe, name, value)
-    codec = bpe.Ranks(RANKS, P.PATTERN)
-    for _ in range(2):
+    for codec in (bpe.Ranks(RANKS, P.PATTERN), bpe.Ranks(RANKS, P.PATTERN, kept=3), bpe.Ranks(RANKS, P.PATTERN, kept=0)):
         assert [x for t in texts() for x in codec.encoder.texts([t])] == want
 
 
