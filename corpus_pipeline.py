@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pactum.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from pactum.llm.store import Workspace, table
 
+#: Pre-tokens kept by a worker of the last stage, about 20 MB: other stages share the executors.
+KEPT = 1 << 17
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more; the model learns from the labels of the documents at hand."""
@@ -31,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text."""
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, kept=KEPT))
 
 
 STAGES = [
