@@ -9,7 +9,9 @@
    left out. Pairs that pass the filters are verified against the whole sets, and links merge components.
 6. What can still link lies in lists with several components: members outside the list's largest component are
    joined with all members of other components. After that no link between different components is left, so the
-   components are exact, though pairs within one are never listed.
+   components are exact.
+7. linked() then compares the whole sets of all pairs of classes inside a component, where all links are: its classes are
+   dealt over blocks, and a task counts the links of two blocks by products of 0/1 matrices. Pairs are not written.
 
 Filters on a pair that shares a shingle: length (100 min >= percent max), positional (the overlap is at most one
 plus what is left after the shingle; it holds at the first shared one) and suffix (parities of 256 residue classes
@@ -36,6 +38,10 @@ _BLOCK = 1 << 16
 BROADCAST_IDS = 500_000
 #: Pairs that one task verifies where there are few.
 PAIRS = 256
+#: About so many classes, and shingles, of a component are one block.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
+#: Columns of the matrices whose product counts shared shingles.
+COLUMNS = 4096
 #: Rounds of leaders before what is left is joined, unless little is left before.
 ROUNDS = 6
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
@@ -90,6 +96,11 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     return np.minimum(cells, (1 << 32) - 1).astype(np.uint32)
 
 
+def _prints(own: np.ndarray) -> tuple[np.int64, np.int64]:
+    """The fingerprint of a set."""
+    return mix(own ^ np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64), mix(own + np.uint64(0x1B873593CC9E2D51)).sum(dtype=np.uint64).astype(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -106,7 +117,7 @@ def _describe(texts: DataFrame, size: int, percent: int, cells: np.ndarray) -> D
             for row, own in shingle_sets(batch.column(1), size):
                 number[row] = n = len(own)
                 if n:
-                    prints[row] = mix(own ^ np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64), mix(own + np.uint64(0x1B873593CC9E2D51)).sum(dtype=np.uint64).astype(np.int64)
+                    prints[row] = _prints(own)
                     marks[row] = np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
                     rank = np.lexsort((own, counts[own >> np.uint64(64 - SKETCH_BITS)]))
                     prefixes[row] = own[rank[: prefix_length(n, percent)]].view(np.int64)
@@ -185,6 +196,107 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     whole sequence as one shingle. Ties: equal sets link. Rows that share an identifier are one node and share a
     component. Other columns are not read. An empty table gives an empty result.
     """
+    _, members, comps, _ = _joined(docs, id_col, text_col, size, percent)
+    out = members if comps is None else members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    label = F.col("rep") if comps is None else F.coalesce("component", "rep")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: id, n_shingles, class_id, n_links, component_id.
+
+    class_id: the smallest id with an equal set of shingles. n_links: how many other rows' sets link with this row's,
+    those of its class included. The rest is as in join().
+    """
+    texts, members, comps, work = _joined(docs, id_col, text_col, size, percent)
+    classes = members.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rep").alias("rep"), F.count("*").alias("size"))
+    if comps is None:
+        classes = classes.withColumn("component", F.col("rep"))
+    else:
+        classes = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = work.cut(classes.select("f1", "f2", "n", "rep", "size", "component"), "classes")
+    found = _links(classes, texts, size, percent, work)
+    more = classes.join(found, ["f1", "f2", "n"], "left").select("f1", "f2", "n", "rep", "component", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    more = more.where("links > 0 OR component <> rep").drop("rep")
+    out = members.join(more, ["f1", "f2", "n"], "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
+    )
+
+
+def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
+    """(f1, f2, n, links) of the classes in components of several: the rows of other classes that link with a class."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    wide = classes.groupBy("component").agg(F.count("*").alias("k"), blocks.alias("blocks")).where("k > 1").drop("k")
+    wide = classes.join(wide, "component").withColumn("block", F.pmod(F.xxhash64("f1", "f2", "n"), F.col("blocks")).cast("int"))
+    wide = work.cut(wide, "open")
+
+    def collect(parts):
+        for batch in parts:
+            if batch.num_rows:
+                sets = [own for _, own in shingle_sets(batch.column(1), size)]
+                prints = np.array([_prints(own) for own in sets])
+                yield pa.RecordBatch.from_arrays([*(pa.array(prints[:, k]) for k in range(2)), pa.array([len(own) for own in sets], pa.int64()), pa.array([own.tobytes() for own in sets], pa.large_binary()).cast(pa.binary())], names=["f1", "f2", "n", "own"])
+
+    ids = wide.select(F.col("rep").alias("id")).distinct()
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(collect, "f1 long, f2 long, n long, own binary")
+    sets = work.cut(wide.join(sets.dropDuplicates(["f1", "f2", "n"]), ["f1", "f2", "n"]), "sets")
+    key = ["component", "i", "j"]
+    dealt_out = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f1", "f2", "n", "size", "own")
+    dealt_out = dealt_out.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+
+    def count(parts):
+        held, now = [], None
+        for batch in parts:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    if held and names[lo] != now:
+                        yield _counted(held, percent)
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    now = names[lo]
+        if held:
+            yield _counted(held, percent)
+
+    counts = dealt_out.mapInArrow(count, "f1 long, f2 long, n long, links long")
+    return work.cut(counts.groupBy("f1", "f2", "n").agg(F.sum("links").alias("links")), "counts")
+
+
+def _counted(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """(f1, f2, n, links) for the classes of the blocks i and j of a component: links between i and j, or within i."""
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    column = lambda name: rows.column(name).to_numpy()
+    n, weight, first = column("n"), column("size"), column("block") == column("i")
+    own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("own")])
+    owner = np.repeat(np.arange(len(n)), n)
+    _, place, times = np.unique(own, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place, owner = (np.cumsum(shared) - 1)[place[shared[place]]], owner[shared[place]]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    x, same = np.flatnonzero(first), bool(first.all())
+    y = x if same else np.flatnonzero(~first)
+    both = np.zeros((len(x), len(y)), np.int64)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(place, [low, low + COLUMNS])
+        matrix = np.zeros((len(n), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+        matrix[owner[lo:hi], place[lo:hi] - low] = 1
+        both += (matrix[x] @ matrix[y].T).astype(np.int64)
+    link = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
+    links = np.zeros(len(n), np.int64)
+    if same:
+        np.fill_diagonal(link, False)
+    else:
+        links[y] = weight[x] @ link
+    links[x] = link @ weight[y]
+    return pa.RecordBatch.from_arrays([*(rows.column(name).combine_chunks() for name in ("f1", "f2", "n")), pa.array(links)], names=["f1", "f2", "n", "links"])
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
+    """(texts, members, components or None where nothing links, workspace)."""
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -194,7 +306,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     full = rows.where("n > 0")
     copies = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
     copies = work.cut(copies, "copies")
-    members = work.cut(rows.select("id", "n", "f1", "f2").join(copies, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    members = work.cut(rows.select("id", "n", "f1", "f2").join(copies, ["f1", "f2", "n"], "left").select("id", "n", "f1", "f2", F.coalesce("rep", "id").alias("rep")), "members")
     reps = members.where("n > 0").select(F.col("rep").alias("id")).distinct()
     entries = full.join(reps, "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
@@ -224,10 +336,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x", "y", percent))
         comps, _, _ = _step(pairs, comps, tested, texts, size, percent, work)
-
-    out = members if comps is None else members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    label = F.col("rep") if comps is None else F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"))
+    return texts, members, comps, work
 
 
 def _step(pairs: DataFrame, comps, tested, texts: DataFrame, size: int, percent: int, work: Workspace):
