@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.store import Workspace
+from pactum.llm.store import Workspace, keyed
 
 KEY_CHARS = 24
 SALTS = 64
@@ -79,9 +79,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, keep: str = "smallest") -> DataFrame:
-    """The rows of docs, all columns, of which one of each group of equal texts stays.
+    """The rows of docs, all columns, of which one of each group of equal texts stays: one with the kept identifier.
 
-    Identifiers have to be unique; for repeated ones every row with the kept identifier stays.
+    A null identifier comes after all others; rows with null or repeated identifiers count as rows of their own.
     """
-    gone = groups(docs, id_col, text_col, normalise, keep).where(~F.col("kept") & (F.col(id_col) != F.col("keep_id")))
-    return docs.join(gone.select(id_col), id_col, "left_anti").select(docs.columns)
+    rows, key = keyed(docs, id_col, keep, Workspace(docs.sparkSession, "dedup"))
+    gone = groups(rows, key, text_col, normalise, keep if key == id_col else "smallest").where(~F.col("kept"))
+    return rows.join(gone.select(key), key, "left_anti").select([f"`{c}`" for c in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components, dealt
-from pactum.llm.store import Workspace
+from pactum.llm.store import Workspace, keyed
 from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
 SKETCH_BITS = 20
@@ -355,6 +355,10 @@ def _step(pairs: DataFrame, comps, tested, texts: DataFrame, size: int, percent:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, of which one of each component stays: that with the smallest identifier."""
-    gone = join(docs, id_col, text_col, size, percent).where(F.col(id_col) != F.col("component_id"))
-    return docs.join(gone.select(id_col), id_col, "left_anti").select(docs.columns)
+    """The rows of docs, all columns, of which one of each component stays: one with the smallest identifier.
+
+    A null identifier comes after all others; rows with null or repeated identifiers count as rows of their own.
+    """
+    rows, key = keyed(docs, id_col, "smallest", Workspace(docs.sparkSession, "jaccard"))
+    gone = join(rows, key, text_col, size, percent).where(F.col(key) != F.col("component_id"))
+    return rows.join(gone.select(key), key, "left_anti").select([f"`{c}`" for c in docs.columns])

@@ -8,6 +8,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,19 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keyed(docs: DataFrame, id_col: str, keep: str, work: Workspace) -> tuple[DataFrame, str]:
+    """(docs, a column that is unique, never null and grows from the row to keep on): id_col where it is all that, or
+    else a new column, with the rows in a written table."""
+    if docs.select(F.col(f"`{id_col}`").alias("id")).groupBy("id").agg(F.count("*").alias("k")).where("id IS NULL OR k > 1").isEmpty():
+        return docs, id_col
+    key = "_row"
+    while key.lower() in map(str.lower, docs.columns):
+        key = f"_{key}"
+    column = F.col(f"`{id_col}`")
+    rows = docs.orderBy(column.asc_nulls_last() if keep == "smallest" else column.desc_nulls_last())
+    return work.cut(rows.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 class Files:
     """Binary files in the shared folder, opened from a task.
 
