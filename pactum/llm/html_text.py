@@ -224,6 +224,7 @@ def render(text: str | None) -> str:
                 continue
             if tag == "table" and tables and tables[-1][2] is item:
                 rows = tables.pop()[0]
+                flow.end()
                 flow.block(table_lines(rows))
             elif tag in ("ul", "ol", "menu", "dl") and lists and lists[-1][2] is item:
                 lists.pop()

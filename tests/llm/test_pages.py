@@ -123,3 +123,14 @@ def test_warc_edges(spark):
     rows = [(None, "u", "y" * 100), (None, "u", "y" * 100), (4, "u", "z" * 100), (4, "u", "z" * 100), (None, "u", "z" * 100)]
     got = warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == [("4", "response", "None"), ("4", "revisit", "4"), ("None", "response", "None"), ("None", "revisit", "4"), ("None", "revisit", "None")]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td>a</td></tr>Stray</table>", "Stray\na"),
+        ("<table><td>a</td>Stray</table>", "Stray\na"),
+    ],
+)
+def test_text_directly_in_a_table_stays(page, text):
+    assert render(page) == text
