@@ -1,50 +1,61 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. One pass over the texts counts shingles in a sketch of fixed size; (count, hash) orders all shingles, rare first.
-2. A second pass gives each document its set's size, a 128-bit fingerprint, a 256-bit parity signature and its
-   prefix: the n - ceil(t n) + 1 rarest shingles. Two sets with similarity t share a shingle of both prefixes.
-3. Documents with equal sets form a class; only its representative is joined.
-4. Prefix shingles that one class alone has are dropped; the others are posting lists.
-5. Rounds: in every list each member is paired with one leader, not with each other; pairs inside a component are
+1. A pass over the texts gives each document its set's size, a 128-bit fingerprint and a 256-bit parity signature,
+   and counts the shingles that are frequent in its part of the texts. Documents with equal sets form a class; only
+   its representative is joined.
+2. A second pass deals the shingles of all representatives over ranges of their hashes, packed with the number of
+   their document in its batch. A range has all documents of its shingles, so it knows their exact frequencies, and
+   sends the shingles of several documents back to the batch they came from. Shingles in very many documents would
+   gather in one range: they are those counted before, at most 2**FREQUENT_BITS, whose counts are broadcast instead.
+3. Each batch orders the shingles of a document by (frequency, hash). The n - ceil(t n) + 1 first ones are its prefix;
+   two sets with similarity t share a shingle of both prefixes. A prefix shingle of several classes is a posting list.
+4. Rounds: in every list each member is paired with one leader, not with each other; pairs inside a component are
    left out. Pairs that pass the filters are verified against the whole sets, and links merge components.
-6. What can still link lies in lists with several components: members outside the list's largest component are
-   joined with all members of other components. After that no link between different components is left, so the
-   components are exact.
-7. linked() then compares the whole sets of all pairs of classes inside a component, where all links are: its classes are
-   dealt over blocks, and a task counts the links of two blocks by products of 0/1 matrices. Pairs are not written.
+5. What can still link lies in lists with several components: members outside the list's largest component are
+   joined with the members of other components that have about their length. After that no link between different
+   components is left, so the components are exact.
+6. linked() then compares the whole sets of all pairs of classes inside a component, where all links are: its classes
+   are dealt over blocks, and a task counts the links of two blocks by products of 0/1 matrices. Pairs are not written.
 
 Filters on a pair that shares a shingle: length (100 min >= percent max), positional (the overlap is at most one
 plus what is left after the shingle; it holds at the first shared one) and suffix (parities of 256 residue classes
-bound the symmetric difference from below). A shingle is the 64-bit hash of its words; two different shingles of a
-pair agree with a chance of about 2**-64.
+bound the symmetric difference from below). A shingle is a 64-bit hash made from the mixed hashes of its words.
+Frequencies and lists take its upper 48 bits; two that share them cost a candidate, not a wrong result.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.components import components, dealt
+from pactum.llm.components import components
 from pactum.llm.store import Workspace, keyed
 from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
-SKETCH_BITS = 20
-_BLOCK = 1 << 16
-#: At most so many ids (of 8 bytes or a short string) are broadcast; beyond, Spark joins by a shuffle.
+#: At most so many frequent shingles, of 16 bytes, go to the driver and are broadcast.
+FREQUENT_BITS = 18
+#: A shingle is frequent in a batch from one in so many of its documents on, and from LEAST documents.
+SHARE, LEAST = 1024, 16
+#: Shingles of a batch, about 16 MB, and documents of a batch, numbered by 16 bits.
+BATCH_SHINGLES, BATCH_ROWS = 1 << 21, 1 << 16
+#: At most so many ids of 8 bytes are broadcast; beyond, Spark joins by a shuffle.
 BROADCAST_IDS = 500_000
-#: Pairs that one task verifies where there are few.
-PAIRS = 256
+#: Members that are verified against a leader in one group.
+FOLLOWERS = 1024
 #: About so many classes, and shingles, of a component are one block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 #: Columns of the matrices whose product counts shared shingles.
 COLUMNS = 4096
 #: Rounds of leaders before what is left is joined, unless little is left before.
 ROUNDS = 6
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
+_NUMBER = np.uint64(BATCH_ROWS - 1)
 
 
 def shingle_sets(column: pa.Array, size: int):
@@ -62,74 +73,182 @@ def shingle_sets(column: pa.Array, size: int):
             lo += n
 
 
-def _sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """Counts of all shingles in 2**SKETCH_BITS cells; sent to the driver as that many numbers, whatever the input."""
-
-    def count(parts):
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in parts:
-            data, offsets = utf8(batch.column(0))
-            for _, counts, _, _, hashes in batches(data, offsets, BLANKS):
-                # Runs across two documents are counted too; they only blur the order.
-                cells += np.bincount((grams(hashes, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        if cells.any():
-            blocks = cells.reshape(-1, _BLOCK)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blocks)), pa.int32()), pa.array([b.astype(np.uint32 if b.max() < 1 << 32 else np.uint64).tobytes() for b in blocks], pa.binary())], names=["block", "cells"]
-            )
-
-    def add(parts):
-        total: dict[int, np.ndarray] = {}
-        for batch in parts:
-            for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[block] = total.get(block, 0) + np.frombuffer(cells, np.uint32 if len(cells) == 4 * _BLOCK else np.uint64).astype(np.uint64)
-        if total:
-            out = [t.astype(np.uint32 if t.max() < 1 << 32 else np.uint64).tobytes() for t in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(out, pa.binary())], names=["block", "cells"])
-
-    kind = "block int, cells binary"
-    counted = texts.select("text").mapInArrow(count, kind)
-    summed = counted.repartition((1 << SKETCH_BITS) // _BLOCK, "block").mapInArrow(add, kind)
-    cells = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for block, part in summed.collect():
-        cells[block * _BLOCK : (block + 1) * _BLOCK] += np.frombuffer(part, np.uint32 if len(part) == 4 * _BLOCK else np.uint64)
-    return np.minimum(cells, (1 << 32) - 1).astype(np.uint32)
-
-
-def _prints(own: np.ndarray) -> tuple[np.int64, np.int64]:
-    """The fingerprint of a set."""
-    return mix(own ^ np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).astype(np.int64), mix(own + np.uint64(0x1B873593CC9E2D51)).sum(dtype=np.uint64).astype(np.int64)
-
-
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _describe(texts: DataFrame, size: int, percent: int, cells: np.ndarray) -> DataFrame:
-    order = texts.sparkSession.sparkContext.broadcast(cells)
+def _batches(parts, size: int, most: int):
+    """Batches of about so many shingles of the rows (id, text): (ids, sets); rows without words are left out."""
+    ids, sets, held = [], [], 0
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        names = batch.column(0).to_numpy(zero_copy_only=False)
+        for row, own in shingle_sets(batch.column(1), size):
+            if len(own):
+                ids.append(names[row])
+                sets.append(own)
+                held += len(own)
+                if held >= most or len(ids) == BATCH_ROWS:
+                    yield np.array(ids, np.int64), sets
+                    ids, sets, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), sets
+
+
+def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The fingerprints of sets."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    for k, own in enumerate(sets):
+        out[0, k] = mix(own ^ np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+        out[1, k] = mix(own + np.uint64(0x1B873593CC9E2D51)).sum(dtype=np.uint64)
+    return list(out.view(np.int64))
+
+
+def _marks(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The parity signatures of sets."""
+    out = np.zeros((len(sets), 4), np.int64)
+    for k, own in enumerate(sets):
+        out[k] = np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+    return list(out.T)
+
+
+def _describe(texts: DataFrame, size: int) -> DataFrame:
+    """A row (id, n, f1, f2) for each text with words, and rows (token, seen) of frequent shingles."""
 
     def run(parts):
+        for ids, sets in _batches(parts, size, BATCH_SHINGLES):
+            f1, f2 = _prints(sets)
+            tokens, seen = np.unique(np.concatenate(sets) >> np.uint64(16), return_counts=True)
+            often = seen >= max(LEAST, len(ids) / SHARE)
+            tokens, seen = tokens[often].view(np.int64), seen[often]
+            docs = [ids, np.array([len(own) for own in sets], np.int64), f1, f2]
+            columns = [pa.array(np.concatenate([x, np.zeros(len(tokens), np.int64)])) for x in docs]
+            columns += [pa.array(np.concatenate([np.zeros(len(ids), np.int64), x.astype(np.int64)])) for x in (tokens, seen)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "f1", "f2", "token", "seen"])
+
+    return texts.mapInArrow(run, "id long, n long, f1 long, f2 long, token long, seen long")
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles in order and their counts: in about a 1 / SHARE of the documents, at most 2**FREQUENT_BITS."""
+    documents, shingles = rows.where("seen = 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = max(4 * LEAST, documents / SHARE, shingles / 2**FREQUENT_BITS)
+    found = rows.where("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).toArrow()
+    tokens, seen = found["token"].to_numpy(), found["seen"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order].astype(np.uint64), np.minimum(seen[order], 1 << 31).astype(np.uint32)
+
+
+_PACKED = "part long, home long, batch long, head boolean, body binary, counts binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.large_binary(), pa.large_binary()]
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays([*columns[:4], *(c.cast(pa.binary()) for c in columns[4:])], names=["part", "home", "batch", "head", "body", "counts"])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit integers byte by byte, most significant bytes together: those of sorted values compress well."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _matches(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each value is in the sorted table, its place there)."""
+    if not len(sorted_):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return sorted_[at] == values, at
+
+
+def _entries(texts: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The prefix shingles of the texts that other texts have too: (token, id, n, pos, s0, s1, s2, s3)."""
+    spark = texts.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = spark.sparkContext.broadcast(frequent)
+
+    def deal(parts):
+        """Each batch: a head with its documents, which waits for its shingles, and the shingles by range."""
+        tokens, seen = known.value
+        task = TaskContext.get().partitionId()
+        for k, (ids, sets) in enumerate(_batches(parts, size, BATCH_SHINGLES)):
+            lengths = np.array([len(own) for own in sets])
+            number = np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
+            packed = np.sort((np.concatenate(sets) & ~_NUMBER) | number)
+            often, at = _matches(tokens, packed >> np.uint64(16))
+            # Frequent shingles come last; most prefixes end before them.
+            rest = lengths - np.bincount((packed[often] & _NUMBER).astype(np.int64), minlength=len(ids))
+            often_here = np.flatnonzero(often)
+            needed = (prefix_length(lengths, percent) > rest)[(packed[often_here] & _NUMBER).astype(np.int64)]
+            heavy, counts = packed[often_here[needed]], seen[at[often_here[needed]]]
+            home, batch = (task + k) % ranges, (task << 32) + k
+            head = np.concatenate([[len(ids)], ids, lengths, *_marks(sets)]).astype(np.int64).tobytes()
+            yield _packed([(home, home, batch, True, head, b"")] + [(home, home, batch, True, heavy.tobytes(), counts.tobytes())] * bool(len(heavy)))
+            packed = packed[~often]
+            cuts = np.searchsorted((packed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            rows = [(p, home, batch, False, _planes(packed[lo:hi]), b"") for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi]
+            if rows:
+                yield _packed(rows)
+
+    def count(parts):
+        """What several documents of the range share, for each batch."""
+        blocks = []
+        for batch in parts:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if row[3]:
+                    yield _packed([row])
+                else:
+                    blocks.append(row)
+        if blocks:
+            blocks = [(row, _values(row[4])) for row in blocks]
+            tokens = np.sort(np.concatenate([x for _, x in blocks]) >> np.uint64(16))
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            seen = np.diff(np.append(starts, len(tokens)))
+            tokens, seen = tokens[starts[seen > 1]], np.minimum(seen[seen > 1], 1 << 31).astype(np.uint32)
+            for (_, home, name, _, _, _), packed in blocks:
+                here, at = _matches(tokens, packed >> np.uint64(16))
+                if here.any():
+                    yield _packed([(home, home, name, False, packed[here].tobytes(), seen[at[here]].tobytes())])
+
+    def order(parts):
+        held: list = []
         for batch in parts:
-            if not batch.num_rows:
-                continue
-            counts, rows = order.value, batch.num_rows
-            number, prints, marks, prefixes = np.zeros(rows, np.int64), np.zeros((rows, 2), np.int64), np.zeros((rows, 4), np.int64), [None] * rows
-            for row, own in shingle_sets(batch.column(1), size):
-                number[row] = n = len(own)
-                if n:
-                    prints[row] = _prints(own)
-                    marks[row] = np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
-                    rank = np.lexsort((own, counts[own >> np.uint64(64 - SKETCH_BITS)]))
-                    prefixes[row] = own[rank[: prefix_length(n, percent)]].view(np.int64)
-            lengths = [0 if p is None else len(p) for p in prefixes]
-            flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(number), *(pa.array(prints[:, k]) for k in range(2)), *(pa.array(marks[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))],
-                names=["id", "n", "f1", "f2", *_SIGNATURE, "prefix"],
-            )
-
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
+            for row in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                if held and held[0][0] != row[0]:
+                    yield _prefixes(held, percent)
+                    held = []
+                held.append(row)
+        if held:
+            yield _prefixes(held, percent)
+
+    dealt = texts.mapInArrow(deal, _PACKED).repartitionById(ranges, F.col("part").cast("int"))
+    counted = dealt.mapInArrow(count, _PACKED).repartitionById(ranges, F.col("home").cast("int"))
+    return counted.sortWithinPartitions("batch").mapInArrow(order, "token long, id long, n long, pos long, s0 long, s1 long, s2 long, s3 long")
+
+
+def _prefixes(rows: list[tuple], percent: int) -> pa.RecordBatch:
+    """The entries of a batch's documents from its rows (batch, head, body, counts)."""
+    documents = np.frombuffer(next(body for _, head, body, counts in rows if head and not counts), np.int64)
+    total = int(documents[0])
+    ids, n, *marks = documents[1:].reshape(6, total)
+    shared = [(body, counts) for _, _, body, counts in rows if counts]
+    packed = np.concatenate([np.frombuffer(b, np.uint64) for b, _ in shared] or [np.zeros(0, np.uint64)])
+    seen = np.concatenate([np.frombuffer(c, np.uint32) for _, c in shared] or [np.zeros(0, np.uint32)])
+    owner = (packed & _NUMBER).astype(np.int64)
+    rank = np.lexsort((packed, seen, owner))
+    owner, packed = owner[rank], packed[rank]
+    many = np.bincount(owner, minlength=total)
+    # Shingles that no other document has come first.
+    pos = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + (n - many)[owner]
+    keep = pos < prefix_length(n, percent)[owner]
+    owner = owner[keep]
+    columns = [(packed[keep] >> np.uint64(16)).view(np.int64), ids[owner], n[owner], pos[keep], *(m[owner] for m in marks)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "id", "n", "pos", *_SIGNATURE])
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -141,65 +260,127 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (F.least(nx - c(x, "pos"), ny - c(y, "pos")) >= least) & (apart <= nx + ny - 2 * least)
 
 
-def _verify(pairs: DataFrame, rows: int, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
-    """Those of the distinct pairs (a, b), so many rows, whose whole sets link."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    ids = work.cut(dealt(ids, rows, "id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
+def _own(texts: DataFrame, ids: DataFrame, size: int, work: Workspace) -> DataFrame:
+    """(id, own): the whole sets of some texts."""
 
     def collect(parts):
-        for batch in parts:
-            if batch.num_rows:
-                sets = [own.tobytes() for _, own in shingle_sets(batch.column(1), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "own"])
+        for names, sets in _batches(parts, size, BATCH_SHINGLES):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([own.tobytes() for own in sets], pa.large_binary()).cast(pa.binary())], names=["id", "own"])
+
+    few = ids.count() <= BROADCAST_IDS
+    return work.cut(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(collect, "id long, own binary"), "own")
+
 
-    kind = texts.schema["id"].dataType.simpleString()
-    sets = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(collect, f"id {kind}, own binary")
-    sets = work.cut(sets, "sets")
-    by = lambda df, key: dealt(df, rows, key, PAIRS)
-    wide = by(pairs, "a").join(by(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a"), "a")
-    wide = by(wide, "b").join(by(sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b"), "b")
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose whole sets link. The set of a goes once to each group of up to about
+    FOLLOWERS of its partners, theirs stream past it."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("groups"))
+    lead = groups.join(sets.select(F.col("id").alias("a"), "own"), "a")
+    lead = lead.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("b"), "own")
+    rest = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), "b")
+    rest = rest.join(sets.select(F.col("id").alias("b"), "own"), "b").select("a", "group", "b", "own")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def test(parts):
+        lead = None
         for batch in parts:
             keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep[k] = 100 * both >= percent * (len(p) + len(q) - both)
-            out = batch.select([0, 1]).filter(pa.array(keep))
-            if out.num_rows:
-                yield out
-
-    links = work.cut(by(wide.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}"), "a").distinct(), "links")
-    work.drop(sets, ids)
-    return links
-
-
-def _merge(comps: DataFrame | None, links: DataFrame, rows: int, work: Workspace) -> DataFrame:
-    """Components after more links: (id, component) of those that aren't the least of theirs."""
-    if comps is None:
-        return components(links, rows, work)
-    known = comps.select(F.col("id").alias("k"), F.col("component").alias("c"))
-    named = links.join(known, links.a == known.k, "left").select(F.coalesce("c", "a").alias("a"), "b")
-    named = named.join(known, named.b == known.k, "left").select("a", F.coalesce("c", "b").alias("b"))
-    more = components(named, rows, work)
-    moved = more.select(F.col("id").alias("k"), F.col("component").alias("c"))
-    old = comps.join(moved, comps.component == moved.k, "left").select("id", F.coalesce("c", "component").alias("component"))
-    return work.cut(old.unionByName(more.join(comps, "id", "left_anti")), "components")
+            for k, (partner, own) in enumerate(zip(batch.column(2).is_valid().to_pylist(), batch.column(3))):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                if not partner:
+                    lead = own.copy()
+                    continue
+                both = len(lead) + len(own) - len(np.unique(np.concatenate([lead, own])))
+                keep[k] = 100 * both >= percent * (len(lead) + len(own) - both)
+            if keep.any():
+                yield batch.select([0, 2]).filter(pa.array(keep))
+
+    placed = rest.unionByName(lead).repartition(parts, "a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
+    return placed.mapInArrow(test, "a long, b long")
+
+
+class _Join:
+    """The steps of a join of (id, text) with unique ids."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, work: Workspace):
+        self.size, self.percent, self.work = size, percent, work
+        self.texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        self.sets, self.links, self.tested, self.comps, self.found = None, None, None, None, 0
+        rows = work.cut(_describe(self.texts, size), "rows")
+        frequent = _frequent(rows)
+        full = rows.where("seen = 0").select("id", "n", "f1", "f2")
+        copies = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+        self.copies = work.cut(copies, "copies")
+        #: (id, n, rep) of the rows with words; rep is the representative of the row's class.
+        self.members = work.cut(full.join(self.copies, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members", rows)
+        more = self.members.where("rep <> id").select("id")
+        if more.count() <= BROADCAST_IDS:
+            first = self.texts.join(F.broadcast(more), "id", "left_anti")
+        else:
+            first = self.texts.join(more, "id", "left_anti").sortWithinPartitions("id")  # a task run again deals the same batches
+        entries = work.cut(_entries(first, size, percent, frequent), "entries")
+        shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
+        self.lists = work.cut(entries.join(shared, "token", "left_semi").dropDuplicates(["token", "id"]), "lists", entries)
+        self.entries = self.lists.count()
+        if self.entries:
+            self._components()
+
+    def _now(self) -> DataFrame:
+        """The lists with the components known so far."""
+        if self.comps is None:
+            return self.lists.withColumn("comp", F.col("id"))
+        return self.lists.join(self.comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def _components(self) -> None:
+        self.sets = _own(self.texts, self.lists.select("id").distinct(), self.size, self.work)
+        x, y = F.col("x.token"), F.col("y.token")
+        for turn in range(ROUNDS):
+            now = self._now()
+            if turn:
+                parts = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
+                if (parts.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0) <= 4 * self.entries:
+                    break
+            lead = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp", *_SIGNATURE), F.xxhash64("id", F.lit(turn))).alias("lead")).select("token", "lead.*")
+            pairs = now.alias("x").join(lead.alias("y"), (x == y) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", self.percent))
+            if not self._step(pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))) and not turn:
+                break
+        now = self._now()
+        main = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("parts"))
+        # Sets that link have lengths in the same or the next step of a ladder.
+        step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / self.percent) * 1.000001 if self.percent < 100 else 1e-9)).cast("long")
+        left = self.work.cut(now.join(main.where("parts > 1").select("token", "main"), "token").withColumn("step", step), "open")
+        near = left.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
+        once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+        alike = (x == y) & (F.col("x.step") == F.col("y.step")) & (F.col("x.comp") != F.col("y.comp"))
+        pairs = left.where("comp <> main").alias("x").join(near.alias("y"), alike & once & _may_link("x", "y", self.percent))
+        self._step(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        self.work.drop(left, self.lists, *(self.tested or []), *(self.links or []))
+
+    def _step(self, pairs: DataFrame) -> int:
+        """Verifies the pairs not tested before, merges components; the number of links."""
+        pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+        for done in self.tested or []:
+            pairs = pairs.join(done, ["lo", "hi"], "left_anti")
+        pairs = self.work.cut(pairs, "pairs")
+        self.tested = [*(self.tested or []), pairs.select("lo", "hi")]
+        self.tested[-1]._pactum_path = pairs._pactum_path
+        pairs = pairs.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"))
+        links = self.work.cut(_verify(pairs, self.sets, self.percent), "links")
+        found = links.count()
+        if found:
+            self.links, self.found = [*(self.links or []), links], self.found + found
+            self.comps = components(reduce(DataFrame.unionByName, self.links), self.found, self.work)
+        return found
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that links reach, its own included).
 
     Null, empty and blank texts have no shingles and link with nothing; a text of fewer than `size` words has its
-    whole sequence as one shingle. Ties: equal sets link. Rows that share an identifier are one node and share a
-    component. Other columns are not read. An empty table gives an empty result.
+    whole sequence as one shingle. Ties: equal sets link. Rows with null or repeated identifiers are rows of their
+    own; a null identifier comes after all others. Other columns are not read. An empty table gives an empty result.
     """
-    _, members, comps, _ = _joined(docs, id_col, text_col, size, percent)
-    out = members if comps is None else members.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    label = F.col("rep") if comps is None else F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"))
+    return _answer(docs, id_col, text_col, size, percent, False)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -208,43 +389,57 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     class_id: the smallest id with an equal set of shingles. n_links: how many other rows' sets link with this row's,
     those of its class included. The rest is as in join().
     """
-    texts, members, comps, work = _joined(docs, id_col, text_col, size, percent)
-    classes = members.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rep").alias("rep"), F.count("*").alias("size"))
-    if comps is None:
-        classes = classes.withColumn("component", F.col("rep"))
+    return _answer(docs, id_col, text_col, size, percent, True)
+
+
+def _answer(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, links: bool) -> DataFrame:
+    work = Workspace(docs.sparkSession, "jaccard")
+    rows, key = keyed(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "smallest", work, whole=True)
+    did = _Join(rows, key, "text", size, percent, work)
+    known = did.copies.select("rep", "size") if links else None
+    if did.comps is not None:
+        comps = did.comps.withColumnRenamed("id", "rep")
+        known = comps if known is None else known.join(comps, "rep", "full")
+        if links:
+            known = known.join(_links(did), "rep", "full").select("rep", "component", (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    elif links:
+        known = known.select("rep", F.col("rep").alias("component"), (F.col("size") - 1).alias("links"))
+    members = did.members
+    members = members.withColumn("component", F.col("rep")) if known is None else members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    work.drop(did.sets)
+    names = ["n", "rep", "component"] + ["links"] * links
+    out = rows.select(F.col(f"`{key}`").alias("key"), "id").join(members.select(F.col("id").alias("key"), *names), "key", "left")
+    label = lambda c: F.coalesce(c, "key")
+    values = [F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles")]
+    if key == "id":
+        values += [label("rep").cast(out.schema["id"].dataType).alias("class_id")] * links
+        last = [label("component").cast(out.schema["id"].dataType).alias("component_id")]
     else:
-        classes = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    classes = work.cut(classes.select("f1", "f2", "n", "rep", "size", "component"), "classes")
-    found = _links(classes, texts, size, percent, work)
-    more = classes.join(found, ["f1", "f2", "n"], "left").select("f1", "f2", "n", "rep", "component", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    more = more.where("links > 0 OR component <> rep").drop("rep")
-    out = members.join(more, ["f1", "f2", "n"], "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
-    )
-
-
-def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
-    """(f1, f2, n, links) of the classes in components of several: the rows of other classes that link with a class."""
+        # Rows were numbered: the number of the class and of the component lead back to their ids.
+        ids = rows.select(F.col(f"`{key}`").alias("_k"), F.col("id").alias("_id"))
+        out = out.withColumns({"rep": label("rep"), "component": label("component")})
+        out = out.join(ids.select(F.col("_k").alias("rep"), F.col("_id").alias("class_id")), "rep", "left")
+        out = out.join(ids.select(F.col("_k").alias("component"), F.col("_id").alias("component_id")), "component", "left")
+        values += [F.col("class_id")] * links
+        last = [F.col("component_id")]
+    values += [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")] * links
+    return out.select(F.col("id").alias(id_col), *values, *last)
+
+
+def _links(did: _Join) -> DataFrame:
+    """(rep, links) of the classes in components of several: the rows of other classes that link with a class."""
+    work, percent = did.work, did.percent
+    roots = did.comps.select("component").distinct().select(F.col("component").alias("id"), "component")
+    wide = did.comps.unionByName(roots).join(did.copies.select(F.col("rep").alias("id"), "size"), "id", "left")
+    wide = wide.select("id", "component", F.coalesce("size", F.lit(1)).alias("size"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    wide = classes.groupBy("component").agg(F.count("*").alias("k"), blocks.alias("blocks")).where("k > 1").drop("k")
-    wide = classes.join(wide, "component").withColumn("block", F.pmod(F.xxhash64("f1", "f2", "n"), F.col("blocks")).cast("int"))
-    wide = work.cut(wide, "open")
-
-    def collect(parts):
-        for batch in parts:
-            if batch.num_rows:
-                sets = [own for _, own in shingle_sets(batch.column(1), size)]
-                prints = np.array([_prints(own) for own in sets])
-                yield pa.RecordBatch.from_arrays([*(pa.array(prints[:, k]) for k in range(2)), pa.array([len(own) for own in sets], pa.int64()), pa.array([own.tobytes() for own in sets], pa.large_binary()).cast(pa.binary())], names=["f1", "f2", "n", "own"])
-
-    ids = wide.select(F.col("rep").alias("id")).distinct()
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(collect, "f1 long, f2 long, n long, own binary")
-    sets = work.cut(wide.join(sets.dropDuplicates(["f1", "f2", "n"]), ["f1", "f2", "n"]), "sets")
+    sets = work.cut(wide.join(did.sets, "id").withColumn("n", (F.octet_length("own") / 8).cast("long")), "wide", did.sets)
+    did.sets = sets
+    many = sets.groupBy("component").agg(blocks.alias("blocks"))
+    sets = sets.join(many, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     key = ["component", "i", "j"]
-    dealt_out = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "f1", "f2", "n", "size", "own")
-    dealt_out = dealt_out.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "size", "own")
+    dealt = dealt.repartition(int(did.texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
 
     def count(parts):
         held, now = [], None
@@ -261,30 +456,34 @@ def _links(classes: DataFrame, texts: DataFrame, size: int, percent: int, work:
         if held:
             yield _counted(held, percent)
 
-    counts = dealt_out.mapInArrow(count, "f1 long, f2 long, n long, links long")
-    return work.cut(counts.groupBy("f1", "f2", "n").agg(F.sum("links").alias("links")), "counts")
+    counts = dealt.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return work.cut(counts, "counts")
 
 
 def _counted(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
-    """(f1, f2, n, links) for the classes of the blocks i and j of a component: links between i and j, or within i."""
+    """(rep, links) for the classes of the blocks i and j of a component: links between i and j, or within i."""
     rows = pa.Table.from_batches(parts).combine_chunks()
     column = lambda name: rows.column(name).to_numpy()
     n, weight, first = column("n"), column("size"), column("block") == column("i")
     own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("own")])
     owner = np.repeat(np.arange(len(n)), n)
-    _, place, times = np.unique(own, return_inverse=True, return_counts=True)
+    rank = np.argsort(own, kind="stable")
+    own, owner = own[rank], owner[rank]
+    fresh = np.concatenate([[True], own[1:] != own[:-1]])
+    place = np.cumsum(fresh) - 1
+    times = np.bincount(place)
     shared = times > 1
-    place, owner = (np.cumsum(shared) - 1)[place[shared[place]]], owner[shared[place]]
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
+    here = shared[place]
+    place, owner = (np.cumsum(shared) - 1)[place[here]], owner[here]
     x, same = np.flatnonzero(first), bool(first.all())
     y = x if same else np.flatnonzero(~first)
-    both = np.zeros((len(x), len(y)), np.int64)
+    both = np.zeros((len(x), len(y)), np.int32)
     for low in range(0, int(shared.sum()), COLUMNS):
         lo, hi = np.searchsorted(place, [low, low + COLUMNS])
         matrix = np.zeros((len(n), min(COLUMNS, int(shared.sum()) - low)), np.float32)
         matrix[owner[lo:hi], place[lo:hi] - low] = 1
-        both += (matrix[x] @ matrix[y].T).astype(np.int64)
+        both += (matrix[x] @ matrix[y].T).astype(np.int32)
+    both = both.astype(np.int64)
     link = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
     links = np.zeros(len(n), np.int64)
     if same:
@@ -292,66 +491,7 @@ def _counted(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     else:
         links[y] = weight[x] @ link
     links[x] = link @ weight[y]
-    return pa.RecordBatch.from_arrays([*(rows.column(name).combine_chunks() for name in ("f1", "f2", "n")), pa.array(links)], names=["f1", "f2", "n", "links"])
-
-
-def _joined(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
-    """(texts, members, components or None where nothing links, workspace)."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    cells = _sketch(texts, size)
-    rows = work.cut(_describe(texts, size, percent, cells), "sets")
-
-    full = rows.where("n > 0")
-    copies = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
-    copies = work.cut(copies, "copies")
-    members = work.cut(rows.select("id", "n", "f1", "f2").join(copies, ["f1", "f2", "n"], "left").select("id", "n", "f1", "f2", F.coalesce("rep", "id").alias("rep")), "members")
-    reps = members.where("n > 0").select(F.col("rep").alias("id")).distinct()
-    entries = full.join(reps, "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token")
-    lists = work.cut(entries.join(shared, "token", "left_semi"), "lists")
-    lists = work.cut(lists.join(full.select("id", "n", *_SIGNATURE), ["id", "n"]).dropDuplicates(["token", "id", "pos"]), "signed")
-    entries_left = lists.count()
-
-    comps, tested = None, None
-    for turn in range(ROUNDS if entries_left else 0):
-        now = lists.withColumn("comp", F.col("id")) if comps is None else lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        if turn:
-            parts = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
-            if (parts.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0) <= 4 * entries_left:
-                break
-        lead = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp", *_SIGNATURE), F.xxhash64("id", F.lit(turn))).alias("lead")).select("token", "lead.*")
-        x, y = now.alias("x"), lead.alias("y")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
-        comps, tested, found = _step(pairs, comps, tested, texts, size, percent, work)
-        if not found and not turn:
-            break
-    if entries_left:
-        now = lists.withColumn("comp", F.col("id")) if comps is None else lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        now = work.cut(now, "now")
-        by = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-        open_lists = work.cut(now.join(by, "token"), "open")
-        x, y = open_lists.where("comp <> main").alias("x"), open_lists.alias("y")
-        once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link("x", "y", percent))
-        comps, _, _ = _step(pairs, comps, tested, texts, size, percent, work)
-    return texts, members, comps, work
-
-
-def _step(pairs: DataFrame, comps, tested, texts: DataFrame, size: int, percent: int, work: Workspace):
-    """Verifies the pairs not tested before, merges components: (components, tested pairs, number of links)."""
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = work.cut(pairs, "pairs")
-    rows = pairs.count()
-    if not rows:
-        return comps, tested, 0
-    links = _verify(pairs, rows, texts, size, percent, work)
-    found = links.count()
-    tested = pairs if tested is None else tested.unionByName(pairs)
-    return _merge(comps, links, found, work) if found else comps, tested, found
+    return pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(links)], names=["rep", "links"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -359,6 +499,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     A null identifier comes after all others; rows with null or repeated identifiers count as rows of their own.
     """
-    rows, key = keyed(docs, id_col, "smallest", Workspace(docs.sparkSession, "jaccard"))
-    gone = join(rows, key, text_col, size, percent).where(F.col(key) != F.col("component_id"))
-    return rows.join(gone.select(key), key, "left_anti").select([f"`{c}`" for c in docs.columns])
+    work = Workspace(docs.sparkSession, "jaccard")
+    rows, key = keyed(docs, id_col, "smallest", work, whole=True)
+    did = _Join(rows, key, text_col, size, percent, work)
+    gone = did.members.where("rep <> id").select("id")
+    if did.comps is not None:
+        # A representative that isn't the least of its component goes, too.
+        gone = gone.unionByName(did.comps.select("id"))
+    work.drop(did.sets)
+    gone = work.cut(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone.withColumnRenamed("id", key), key, "left_anti").select([f"`{c}`" for c in docs.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -16,15 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, on one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = os.path.join(tempfile.gettempdir(), f"pactum-{os.getuid()}")
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + os.path.abspath(root)
     return root.rstrip("/")
 
 
+#: With it Spark deletes the shuffle files of a query when the query has ended, not when the driver collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Intermediate tables written to the shared folder: lineage ends there, and a lost executor loses nothing."""
 
@@ -37,26 +44,45 @@ class Workspace:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{label}"
 
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
-        path = self.path(label)
-        df.write.parquet(path)
+    def cut(self, df: DataFrame, label: str, *drop: DataFrame) -> DataFrame:
+        """The table written and read again; tables that only it was made from can then be dropped."""
+        path, before = self.path(label), self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pactum_path = path
+        self.drop(*drop)
         return out
 
-    def drop(self, *frames: DataFrame) -> None:
+    def drop(self, *frames: DataFrame | None) -> None:
         """Deletes the files behind tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._pactum_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if df is not None:
+                self._delete(df._pactum_path)
+
+    def close(self) -> None:
+        """Deletes the whole folder, once no table in it is read any more."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def keyed(docs: DataFrame, id_col: str, keep: str, work: Workspace) -> tuple[DataFrame, str]:
+def keyed(docs: DataFrame, id_col: str, keep: str, work: Workspace, whole: bool = False) -> tuple[DataFrame, str]:
     """(docs, a column that is unique, never null and grows from the row to keep on): id_col where it is all that, or
-    else a new column, with the rows in a written table."""
-    if docs.select(F.col(f"`{id_col}`").alias("id")).groupBy("id").agg(F.count("*").alias("k")).where("id IS NULL OR k > 1").isEmpty():
-        return docs, id_col
+    else a new column, with the rows in a written table. whole: the column also has to be of an integer type."""
+    kind = docs.select(F.col(f"`{id_col}`")).dtypes[0][1]
+    if not whole or kind in _WHOLE:
+        counts = docs.select(F.col(f"`{id_col}`").alias("id")).groupBy("id").agg(F.count("*").alias("k"))
+        if counts.where("id IS NULL OR k > 1").isEmpty():
+            return docs, id_col
     key = "_row"
     while key.lower() in map(str.lower, docs.columns):
         key = f"_{key}"

@@ -1,8 +1,8 @@
 """Words of UTF-8 texts and their 64-bit hashes, for whole batches at once with numpy.
 
-A word is a run of bytes that are not separators. Its hash is a polynomial in an odd base over a fixed random
-value of each byte, taken from running sums over the batch, then mixed. A-Z and a-z share their values, so
-hashes are those of the lower-cased text. Two different words agree with a chance of about 2**-64.
+A word is a run of bytes that are not separators; A-Z count as a-z. A word's bytes are taken eight at a time; each
+eight are mixed with their position, the results are summed and mixed with the length. The mixing is not linear, so
+no pattern of a word cancels out; words of up to eight bytes and equal length never share a hash.
 """
 
 from __future__ import annotations
@@ -12,36 +12,29 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-_VALUES = _byte_values()
-_POWERS: list[np.ndarray] = []
+def _places(n: int, first: int = 0) -> np.ndarray:
+    """A fixed random value for each eight bytes of a word, by their number."""
+    return mix(np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            row = np.full(SEGMENT + 1, base, np.uint64)
-            row[0] = 1
-            _POWERS.append(np.cumprod(row))
-    return _POWERS[0], _POWERS[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_FIRST = _places(1)[0]
+#: Shifts that drop what lies behind the end of a word of so many bytes.
+_SHIFTS = np.array([8 * (8 - n) for n in range(9)], np.uint64) % np.uint64(64)
 
 
 def separators(ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -68,17 +61,49 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as integers; small letters, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=padded[: len(data)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _sums(eights: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums that the hashes of words of these positions and lengths are made of."""
+    first = eights[starts]
+    keep = np.minimum(sizes, 8)
+    shift = _SHIFTS[keep]
+    out = mix((first << shift >> shift) ^ _FIRST)
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8
+        owner = np.repeat(np.arange(len(long)), more)
+        ends = np.cumsum(more)
+        number = np.arange(1, len(owner) + 1) - np.repeat(ends - more, more)
+        shift = _SHIFTS[np.minimum(sizes[long][owner] - 8 * number, 8)]
+        part = eights[starts[long][owner] + 8 * number] << shift >> shift
+        most = int(more.max())
+        part = mix(part ^ _places(most, 1)[number - 1])
+        out[long] += np.add.reduceat(part, ends - more)
+    return out
+
+
+def _finish(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(sums ^ mix(sizes.astype(np.uint64) + np.uint64(0xA0761D6478BD642F)))
+
+
 def _long_word(data: np.ndarray) -> int:
-    power, total = _powers()[0], 0
+    """The sum of one word of any length, a segment at a time."""
+    total = 0
     for lo in range(0, len(data), SEGMENT):
         part = data[lo : lo + SEGMENT]
-        total += int((_VALUES[part] * power[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, lo, 1 << 64)
+        eights = _eights(part)[: len(part) : 8]
+        total += int(mix(eights ^ _places(len(eights), lo // 8)).sum(dtype=np.uint64))
     return total & _MASK
 
 
 def _segment(data: np.ndarray, cuts: np.ndarray, table: np.ndarray):
-    """Words of at most SEGMENT bytes; no word crosses one of the cuts."""
-    power, inverse = _powers()
+    """Words of some bytes; no word crosses one of the cuts."""
     inside = ~table[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -87,9 +112,7 @@ def _segment(data: np.ndarray, cuts: np.ndarray, table: np.ndarray):
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
-    return starts, ends, (sums[ends] - sums[starts]) * inverse[starts]
+    return starts, ends, _sums(_eights(data), starts, ends - starts)
 
 
 def _one(data: np.ndarray, table: np.ndarray):
@@ -130,8 +153,7 @@ def batches(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         else:
             starts, ends, sums = _segment(data[lo:hi], offsets[row:stop] - lo, table)
         counts = np.diff(np.searchsorted(starts, offsets[row : stop + 1] - lo))
-        hashes = mix(sums + (ends - starts).astype(np.uint64))
-        yield row, counts, starts + lo, ends + lo, hashes
+        yield row, counts, starts + lo, ends + lo, _finish(sums, ends - starts)
         row = stop
 
 

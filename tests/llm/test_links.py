@@ -42,3 +42,42 @@ def test_links_of_empty_and_unlinked_tables(spark):
     assert jaccard.linked(spark.createDataFrame([], DOCS)).count() == 0
     got = jaccard.linked(spark.createDataFrame([(1, "a b"), (2, None), (3, "a c")], DOCS)).collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1, 0, 1), (2, 0, 2, 0, 2), (3, 1, 3, 0, 3)]
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_patterned_words_do_not_link(spark):
+    rows = [(1, thue_morse(1024, "a", "b")), (2, thue_morse(1024, "b", "a")), (3, "abababab babababa"), (4, "babababa abababab")]
+    got = jaccard.join(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.component_id for r in got} == {1, 2, 3, 4}
+
+
+def test_repeated_null_and_text_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([("b", text), ("b", text + " x"), (None, text + " y"), ("a", "alone"), ("b", "alone too")], "doc_id string, text string")
+    got = sorted(map(tuple, jaccard.linked(docs).collect()), key=str)
+    assert got == sorted([("b", 56, "b", 2, "b"), ("b", 57, "b", 2, "b"), (None, 57, None, 2, "b"), ("a", 1, "a", 0, "a"), ("b", 1, "b", 0, "b")], key=str)
+
+
+def test_frequent_shingles_and_many_batches(spark, monkeypatch):
+    """Small batches and a low bar, so that batches, ranges and frequent shingles all take part."""
+    rows = near_copies()
+    wanted = links(rows, 5, 80)
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(jaccard, "LEAST", 1)
+    monkeypatch.setattr(jaccard, "BATCH_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(jaccard, "FOLLOWERS", 5)
+    assert sorted(map(tuple, jaccard.linked(docs).collect())) == wanted
+
+
+def test_more_edges_than_one_task_takes(spark, monkeypatch):
+    from pactum.llm import components
+    from pactum.llm.store import Workspace
+
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(149, 7)]
+    monkeypatch.setattr(components, "SMALL", 10)
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), len(edges), Workspace(spark, "test")).collect()
+    assert {r.id: r.component for r in got} == {k: 0 for k in [*range(1, 41), *range(100, 150)]}
