@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.units import KEPT, LONGEST, Encoder, id_lists
+from pactum.llm.units import KEPT, Encoder, id_lists, slices
 
 _WORD = 8  # bits of a rank that index a lower word
 #: Pieces kept by a worker besides KEPT pre-tokens, of which pieces are made.
 PIECES = 1 << 17
+#: Longer pre-tokens, in characters, are encoded each time.
+LONGEST = 64
 _WALL = 256  # follows the values of a byte
 #: Bytes of pre-tokens that share a queue; a longer pre-token has one of its own.
 BATCH = 1 << 17
@@ -57,7 +59,7 @@ class Ranks:
             self.pairs[token[0], token[1]] = self.ranks[token]
         self.kept = KEPT if kept is None else kept
         self.known: dict[str, bytes] = {}
-        self.encoder = Encoder(self.encode_pieces, min(PIECES, self.kept))
+        self.encoder = Encoder(self.ids_of, min(PIECES, self.kept))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -127,8 +129,8 @@ class Ranks:
         flat = made[kept].astype("<u4").tobytes()
         return [flat[lo:hi] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        known, split = self.known, [tokens if len(tokens := self.split(piece)) > 1 else [piece] for piece in pieces]
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        known, split = self.known, [self.split(piece.decode()) for piece in pieces]
         if len(known) > self.kept:
             known.clear()
         long, batch, size = [], [], 0
@@ -157,12 +159,19 @@ class Ranks:
             del known[token]
         return out
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of a run of ids."""
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = self.encode_pieces(pieces)
+        return np.frombuffer(b"".join(made), np.uint32), np.array([len(x) // 4 for x in made], np.int64)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of the ids of several texts, which end at these places."""
         lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        place = np.repeat(self.offsets[ids] - (ends - lengths), lengths)
-        return self.table[place + np.arange(len(place))]
+        stops = np.cumsum(lengths)
+        place = np.repeat(self.offsets[ids] - (stops - lengths), lengths)
+        place += np.arange(len(place))
+        bounds = np.concatenate([[0], stops])[np.concatenate([[0], ends])]
+        data = pa.py_buffer(self.table[place])
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), data]).cast(pa.binary())
 
 
 @functools.cache
@@ -182,29 +191,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(parts):
         codec = ranks(path, pattern, kept)
         for batch in parts:
-            for lo, hi in _slices(batch.column(1), 1 << 20):
-                encoded = list(codec.encoder.texts(batch.column(1)[lo:hi].to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], id_lists(encoded), pa.array([codec.decode(np.frombuffer(x, np.uint32)).tobytes() for x in encoded], pa.binary())],
-                    names=["id", "ids", "decoded"],
-                )
+            for lo, hi in slices(batch.column(1), 1 << 20):
+                ids, ends = codec.encoder.ids(batch.column(1)[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], id_lists(ids, ends), codec.decode(ids, ends)], names=["id", "ids", "decoded"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def _slices(column, most: int = 4 << 20):
-    """Ranges of rows of about `most` characters."""
-    import pyarrow.compute as pc
-
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return coded.select(
         id_col,

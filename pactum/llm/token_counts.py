@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.bpe import _slices
 from pactum.llm.store import Workspace
-from pactum.llm.units import Encoder
+from pactum.llm.units import Encoder, in_runs, slices
 
 #: Lengths in a block of the running sums.
 BLOCK = 1024
@@ -30,7 +29,9 @@ def _library(path: str, pattern: str) -> Encoder:
     with open(path, "rb") as f:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     encode = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    return Encoder(lambda pieces: [np.array(encode(p), np.uint32).tobytes() for p in pieces])
+    lengths = np.zeros(max(table.values()) + 1, np.int64)
+    lengths[list(table.values())] = [len(token) for token in table]
+    return Encoder(in_runs(lambda texts: [encode(t) for t in texts], lengths))
 
 
 def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,9 +41,9 @@ def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(parts):
         encoder = _library(path, pattern)
         for batch in parts:
-            for lo, hi in _slices(batch.column(1)):
-                counts = [len(x) // 4 for x in encoder.texts(batch.column(1)[lo:hi].to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(counts, pa.int64())], names=["id", "n_tokens"])
+            for lo, hi in slices(batch.column(1)):
+                _, ends = encoder.ids(batch.column(1)[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(ends, prepend=0), pa.int64())], names=["id", "n_tokens"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long").withColumnRenamed("id", id_col)
 

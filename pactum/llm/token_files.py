@@ -27,9 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.bpe import _slices
 from pactum.llm.store import Files, Workspace
-from pactum.llm.units import Encoder
+from pactum.llm.units import Encoder, in_runs, slices
 
 FRAME_IDS = 1 << 20
 _INDEX = struct.Struct("<q?QIQ")
@@ -114,11 +113,10 @@ def _library(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return Encoder(encode)
+    # A token of a byte-level vocabulary has a character for each of its bytes.
+    lengths = np.array([len(tokenizer.id_to_token(k) or "") for k in range(tokenizer.get_vocab_size())], np.int64)
+    encode = in_runs(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], lengths)
+    return Encoder(encode, whole=[t.content for t in tokenizer.get_added_tokens_decoder().values()])
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> list[dict]:
@@ -140,10 +138,12 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "d
     def encode(parts):
         packer, encoder = zstandard.ZstdCompressor(level=3), _library(path)
         for batch in parts:
-            for lo, hi in _slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1)):
                 ids = batch.column(0)[lo:hi]
                 key = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                packed = [(len(x) // 4 + 1, *frames_of(x + end, packer)) for x in encoder.texts(batch.column(1)[lo:hi].to_pylist())]
+                flat, ends = encoder.ids(batch.column(1)[lo:hi])
+                stops = ends.tolist()
+                packed = [(y - x + 1, *frames_of(flat[x:y].tobytes() + end, packer)) for x, y in zip([0, *stops], stops)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.searchsorted(np.array(splits, np.int64), key, "right").astype(np.int32)),
