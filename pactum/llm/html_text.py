@@ -3,11 +3,14 @@
 A tokenizer gives tags and text; the tree builder adds the end tags that HTML implies and leaves out end tags that
 match nothing; the renderer walks the tree and emits all visible text. Neither recurses, so depth has no limit.
 
-Not visible: head, scripts, styles, templates and the like; elements with the hidden attribute, display:none or
-visibility:hidden (a descendant may be visible again); a closed details but for its summary; a closed dialog.
-Paragraphs and headings are set off by a blank line, other blocks by a line break, br breaks a line, pre keeps its
-blanks. List items get '- ' or their number, nested ones are indented. Cells of a table row stand side by side, columns
-padded to one width and two blanks apart; a cell that spans rows or columns leaves the covered places empty.
+Not visible: head, scripts, styles, templates, what stands in for media, and the parts of drawings that aren't drawn;
+elements with the hidden attribute, display:none or visibility:hidden (a descendant may be visible again); a closed
+details but for its summary; a closed dialog; the options of a list box that shows one, but for that one. Of a drawing
+(svg) its texts are visible, of a formula (math) all but annotations. Paragraphs and headings are set off by a blank line, other blocks by a line break, br breaks a line, pre keeps its
+blanks. List items get '- ' or their number, nested ones are indented, by at most MOST_INDENT blanks. Cells of a table
+row stand side by side, columns padded to one width and two blanks apart; a cell that spans rows or columns leaves the
+covered places empty, and one wider than WIDEST sets its own line off only. Numbers are held to the standard's bounds.
+Time and space grow with the page, however its elements are nested or left open.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from pyspark.sql import functions as F
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title object audio video canvas datalist annotation annotation-xml desc metadata defs symbol clippath mask pattern marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table hr figure fieldset".split())
-BLOCK = SPACED | frozenset("html body div section article header footer nav aside main form address li dt dd tr td th thead tbody tfoot caption figcaption details summary center legend dialog menu".split())
-ENDS_P = (BLOCK - frozenset("tr td th thead tbody tfoot caption li dt dd html body summary legend".split())) | frozenset(["li", "dt", "dd"])
-ROWS = frozenset("tr thead tbody tfoot".split())
+BLOCK = SPACED | frozenset("html body div section article header footer nav aside main form address li dt dd tr td th thead tbody tfoot caption figcaption details summary center legend dialog menu select option optgroup".split())
+ENDS_P = (BLOCK - frozenset("tr td th thead tbody tfoot caption li dt dd html body summary legend select option optgroup".split())) | frozenset(["li", "dt", "dd"])
+#: The largest numbers of columns and of rows of a cell, and of a list item.
+COLUMNS, DOWN, ITEM = 1000, 65534, 2147483647
+MOST_INDENT, WIDEST = 80, 200
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
+_TAG = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
@@ -42,36 +47,66 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def _close_for(stack: list[Node], tag: str) -> None:
-    """End tags that the start of an element implies."""
-    if tag == "li":
-        _pop(stack, {"li"}, {"ul", "ol", "menu", "td", "th"})
-    elif tag in ("dt", "dd"):
-        _pop(stack, {"dt", "dd"}, {"dl", "td", "th"})
-    elif tag in ("td", "th"):
-        _pop(stack, {"td", "th"}, {"table", "tr"})
-    elif tag == "tr":
-        _pop(stack, {"tr"}, {"table", "thead", "tbody", "tfoot"})
-    elif tag in ("thead", "tbody", "tfoot"):
-        _pop(stack, {"thead", "tbody", "tfoot", "caption"}, {"table"})
-    elif tag == "body":
-        _pop(stack, {"head"}, set())
-    if tag in ENDS_P:
-        _pop(stack, {"p"}, BLOCK - {"p"})
-
-
-def _pop(stack: list[Node], tags, stops) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in stops:
-            return
+_BLOCK_STOPS = BLOCK - {"p"}
+#: What the start of an element ends, and what keeps it from ending that.
+_IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu", "td", "th")),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl", "td", "th"))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("table", "tr"))),
+    "tr": (("tr",), ("table", "thead", "tbody", "tfoot")),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "caption"), ("table",))),
+    "body": (("head",), ()),
+    "option": (("option",), ("select", "optgroup", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select", "datalist")),
+}
+
+
+class Open:
+    """The open elements, innermost last, and the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BLOCK_STOPS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0: none."""
+        return max((at[-1] for tag in tags if (at := self.places.get(tag))), default=0)
+
+    def close(self, tags, stop: int) -> None:
+        """Ends the innermost element of these tags that stands inside the place stop, and all in it."""
+        first = self.last(tags)
+        if first > stop:
+            for node in self.stack[first:]:
+                self.places[node.tag].pop()
+                if node.tag in _BLOCK_STOPS:
+                    self.blocks.pop()
+            del self.stack[first:]
+
+    def start(self, tag: str) -> None:
+        """End tags that the start of an element implies."""
+        if tag in _IMPLIED:
+            tags, stops = _IMPLIED[tag]
+            self.close(tags, self.last(stops))
+        if tag in ENDS_P:
+            self.close(("p",), self.blocks[-1] if self.blocks else 0)
+
+    def end(self, tag: str) -> None:
+        if tag in ("td", "th", "tr", "table"):
+            stops = () if tag == "table" else ("table",)
+        else:
+            stops = () if tag in ("body", "html") else ("td", "th")
+        self.close((tag,), self.last(stops))
 
 
 def tree(text: str) -> Node:
     root = Node("#root", {})
-    stack, open_tags, at, size = [root], {}, 0, len(text)
+    opened, at, size = Open(root), 0, len(text)
+    stack = opened.stack
     while at < size:
         found = _TAG.search(text, at)
         if found is None:
@@ -82,18 +117,14 @@ def tree(text: str) -> Node:
         at = found.end()
         end, start, rest = found.groups()
         if end:
-            end = end.lower()
-            if end in ("td", "th", "tr", "table"):
-                _pop(stack, {end}, {"table"} - {end})
-            elif any(n.tag == end for n in reversed(stack[-64:])) or any(n.tag == end for n in stack):
-                _pop(stack, {end}, {"td", "th"} if end not in ("table", "body", "html") else set())
+            opened.end(end.lower())
         elif start:
             tag = start.lower()
             attributes = {}
             if rest:
                 for name, a, b, c in _ATTRIBUTE.findall(rest):
                     attributes.setdefault(name.lower(), a or b or c)
-            _close_for(stack, tag)
+            opened.start(tag)
             node = Node(tag, attributes)
             stack[-1].children.append(node)
             if tag in RAW:
@@ -104,8 +135,7 @@ def tree(text: str) -> Node:
                     at = (text.find(">", close.end()) + 1) or size
             elif tag not in VOID and not (rest or "").endswith("/") or tag in BLOCK:
                 if tag not in VOID:
-                    stack.append(node)
-    del open_tags
+                    opened.push(node)
     return root
 
 
@@ -113,37 +143,45 @@ class Flow:
     """Lines of a block of text: the page, or one table cell."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.indent, self.marker = [], "", 0, "", ""
+        self.lines, self.parts, self.blank, self.gap, self.indent, self.marker = [], [], True, 0, "", ""
+
+    def add(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            self.blank = text[-1] == " "
 
     def text(self, text: str, keep: bool) -> None:
         if keep:
             first, *others = text.split("\n")
-            self.line += first
+            self.add(first)
             for part in others:
                 self.end(True)
-                self.line += part
+                self.add(part)
             return
         text = _BLANKS.sub(" ", text)
-        self.line += text[1:] if text[:1] == " " and (not self.line or self.line[-1] == " ") else text
+        self.add(text[1:] if text[:1] == " " and self.blank else text)
 
     def end(self, always: bool = False) -> None:
-        line = self.line.rstrip(" ")
-        self.line = ""
+        line = "".join(self.parts).rstrip(" ")
+        self.parts, self.blank = [], True
         if line or always:
             if self.lines and self.gap:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            lead = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+            lead = self.indent[: max(0, len(self.indent) - len(self.marker))] + self.marker if self.marker else self.indent
             self.lines.append((lead + line).rstrip(" "))
             self.marker = ""
 
+    def deeper(self, blanks: int) -> None:
+        self.indent += " " * min(blanks, max(0, MOST_INDENT - len(self.indent)))
+
     def space(self, lines: int) -> None:
         self.end()
         self.gap = max(self.gap, lines)
 
     def block(self, lines: list[str]) -> None:
         for line in lines:
-            self.line = line
+            self.add(line)
             self.end(True)
 
     def result(self) -> str:
@@ -151,8 +189,29 @@ class Flow:
         return "\n".join(self.lines)
 
 
-def _number(text: str | None, otherwise: int) -> int:
-    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 5 else otherwise
+def _number(text: str | None, otherwise: int, least: int, most: int) -> int:
+    """The integer that a text begins with, held to bounds."""
+    found = re.match(r"[ \t\n\f\r]*([+-]?)0*([0-9]*)", text or "")
+    if not re.match(r"[ \t\n\f\r]*[+-]?[0-9]", text or ""):
+        return otherwise
+    size = int(found[2][:12] or 0) if len(found[2]) <= 12 else 10**12
+    return min(max(-size if found[1] == "-" else size, least), most)
+
+
+def _options(select: Node) -> list[Node] | None:
+    """The options that a closed list box shows; None where it shows all."""
+    if "multiple" in select.attributes or _number(select.attributes.get("size"), 1, 0, ITEM) > 1:
+        return None
+    found, work = [], [select]
+    while work:
+        node = work.pop()
+        if isinstance(node, Node):
+            if node.tag == "option":
+                found.append(node)
+            elif node.tag in ("select", "optgroup"):
+                work.extend(reversed(node.children))
+    chosen = [o for o in found if "selected" in o.attributes]
+    return chosen[-1:] or [o for o in found if "disabled" not in o.attributes][:1] or found[:1]
 
 
 def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
@@ -178,7 +237,7 @@ def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     order, out = sorted(c for c, w in width.items() if w), []
     for line in grid:
         for k in range(max((len(p) for p in line.values()), default=0)):
-            parts = [(line[c][k] if c in line and k < len(line[c]) else "").ljust(width[c]) for c in order]
+            parts = [(line[c][k] if c in line and k < len(line[c]) else "").ljust(min(width[c], WIDEST)) for c in order]
             text = "  ".join(parts).rstrip(" ")
             if text:
                 out.append(text)
@@ -205,7 +264,7 @@ def render(text: str | None) -> str:
     """The visible text of a page; of null or empty html the empty text."""
     if not text:
         return ""
-    flows, tables, lists = [Flow()], [], []
+    flows, tables, lists, drawn = [Flow()], [], [], []
     work: list = [(tree(text), None, True, False, False)]
     while work:
         item, parent, seen, keep, leaving = work.pop()
@@ -218,9 +277,13 @@ def render(text: str | None) -> str:
             continue
         tag = item.tag
         if leaving:
+            if tag == "svg":
+                drawn.pop()
             if tag in ("td", "th") and tables and tables[-1][1] == len(flows) - 1:
                 cell = flows.pop().result()
-                tables[-1][0][-1].append((cell, _number(item.attributes.get("colspan"), 1) or 1, _number(item.attributes.get("rowspan"), 1) or 1))
+                # No rows at all means all that follow.
+                down = _number(item.attributes.get("rowspan"), 1, 0, DOWN) or DOWN
+                tables[-1][0][-1].append((cell, _number(item.attributes.get("colspan"), 1, 1, COLUMNS), down))
                 continue
             if tag == "table" and tables and tables[-1][2] is item:
                 rows = tables.pop()[0]
@@ -240,6 +303,14 @@ def render(text: str | None) -> str:
         there, seen = _shown(item, parent, seen) if parent is not None else (True, True)
         if not there:
             continue
+        children = item.children
+        if tag == "svg":
+            outside, seen = seen, False
+            drawn.append(outside)
+        elif tag in ("text", "foreignobject") and drawn:
+            seen = seen or drawn[-1]
+        elif tag == "select":
+            children = children if (only := _options(item)) is None else only
         keep = keep or tag in ("pre", "textarea")
         if tag == "br":
             if seen:
@@ -255,15 +326,15 @@ def render(text: str | None) -> str:
         if tag == "li":
             mark = "- "
             if lists and lists[-1][0] == "ol":
-                lists[-1][1] = _number(item.attributes.get("value"), lists[-1][1])
+                lists[-1][1] = _number(item.attributes.get("value"), lists[-1][1], -ITEM, ITEM)
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            flow.indent += " " * len(mark)
+            flow.deeper(len(mark))
             flow.marker = mark
         elif tag in ("dd", "blockquote"):
-            flow.indent += "  "
+            flow.deeper(2)
         elif tag in ("ul", "ol", "menu", "dl"):
-            lists.append([tag, _number(item.attributes.get("start"), 1), item])
+            lists.append([tag, _number(item.attributes.get("start"), 1, -ITEM, ITEM), item])
         elif tag == "table":
             tables.append(([], len(flows), item))
         elif tag == "tr" and tables and tables[-1][1] == len(flows):
@@ -272,7 +343,7 @@ def render(text: str | None) -> str:
             if not tables[-1][0]:
                 tables[-1][0].append([])
             flows.append(Flow())
-        work.extend((child, item, seen, keep, False) for child in reversed(item.children))
+        work.extend((child, item, seen, keep, False) for child in reversed(children))
     while len(flows) > 1:
         cell = flows.pop().result()
         flows[-1].text(cell, True)

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import io
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -58,6 +59,16 @@ def test_all_visible_words_of_the_table(spark):
         ("<pre> k\n  l</pre>", " k\n  l"),
         ("</p></div>a &amp; b &lt;c> <", "a & b <c> <"),
         ("<a title='x>y'>z</a><a b=\"unclosed>w", "zw"),
+        ("<!-->visible", "visible"),
+        ("<!--->a<!-- b --!>c", "ac"),
+        ("<table><tr><td>a</td></tr>Stray</table>", "Stray\na"),  # text in a table belongs before it
+        ("<svg><title>t</title><g>x<text>label <tspan>one</tspan></text></g></svg><math><mi>x</mi><mo>=</mo><annotation>no</annotation></math>", "label onex="),
+        ("<div hidden><svg><text>no</text></svg></div><div style='visibility:hidden'><svg><text>no</text></svg></div>a", "a"),
+        ("<select><option>a<option selected>b<optgroup><option>c</select>d", "b\nd"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<ol start=12345><li>a<li value=-7>b<li>c</ol>", "12345. a\n-7. b\n-6. c"),
+        ("<ol start=99999999999999999999><li>a</ol>", "2147483647. a"),
+        ("<table><tr><td colspan=100000>a<td>b<tr><td rowspan=0>c<td>d<tr><td>e</table>", "a     b\nc  d\n   e"),
     ],
 )
 def test_layout(page, text):
@@ -69,6 +80,13 @@ def test_deep_and_long_pages():
     assert render("<p>a b" * 50_000).count("a b") == 50_000
 
 
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "<p>x" * 60_000, "<div>" * 60_000 + "x</span>" * 60_000, "<table><tr><td>" + "<b>" * 60_000 + "<p>x</p>" * 60_000, "<li><ul>" + "<div>" * 60_000 + "<li>x</li>" * 60_000, "<i>x</i>" * 120_000, "<ul><li>x" * 20_000])
+def test_time_grows_with_the_page(page):
+    began = time.process_time()
+    assert render(page).count("x") == page.count("x")
+    assert time.process_time() - began < 20
+
+
 def test_extract_edges(spark):
     rows = spark.createDataFrame([(1, None, None), (1, "u", ""), (2, "u", "<p>a")], PAGES)
     assert sorted((r.page_id, r.text, r.n_lines) for r in html_text.extract(rows).collect()) == [(1, "", 0), (1, "", 0), (2, "a", 1)]
