@@ -1,6 +1,6 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-1. A pass over the texts gives each document its set's size, a 128-bit fingerprint and a 256-bit parity signature,
+1. A pass over the texts gives each document its set's size, a 128-bit fingerprint and a 1024-bit parity signature,
    and counts the shingles that are frequent in its part of the texts. Documents with equal sets form a class; only
    its representative is joined.
 2. A second pass deals the shingles of all representatives over ranges of their hashes, packed with the number of
@@ -18,7 +18,7 @@
    are dealt over blocks, and a task counts the links of two blocks by products of 0/1 matrices. Pairs are not written.
 
 Filters on a pair that shares a shingle: length (100 min >= percent max), positional (the overlap is at most one
-plus what is left after the shingle; it holds at the first shared one) and suffix (parities of 256 residue classes
+plus what is left after the shingle; it holds at the first shared one) and suffix (parities of 1024 residue classes
 bound the symmetric difference from below). A shingle is a 64-bit hash made from the mixed hashes of its words.
 Frequencies and lists take its upper 48 bits; two that share them cost a candidate, not a wrong result.
 """
@@ -54,7 +54,9 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 COLUMNS = 4096
 #: Rounds of leaders before what is left is joined, unless little is left before.
 ROUNDS = 6
-_SIGNATURE = ["s0", "s1", "s2", "s3"]
+#: Residue classes of the parity signature, and its columns of 64 bits.
+CLASSES = 1024
+_SIGNATURE = [f"s{k}" for k in range(CLASSES // 64)]
 _NUMBER = np.uint64(BATCH_ROWS - 1)
 
 
@@ -107,9 +109,9 @@ def _prints(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 def _marks(sets: list[np.ndarray]) -> list[np.ndarray]:
     """The parity signatures of sets."""
-    out = np.zeros((len(sets), 4), np.int64)
+    out = np.zeros((len(sets), len(_SIGNATURE)), np.int64)
     for k, own in enumerate(sets):
-        out[k] = np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+        out[k] = np.packbits(np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) & 1).view(np.int64)
     return list(out.T)
 
 
@@ -167,7 +169,7 @@ def _matches(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _entries(texts: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The prefix shingles of the texts that other texts have too: (token, id, n, pos, s0, s1, s2, s3)."""
+    """The prefix shingles of the texts that other texts have too: (token, id, n, pos, signature)."""
     spark = texts.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = spark.sparkContext.broadcast(frequent)
@@ -228,14 +230,14 @@ def _entries(texts: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
 
     dealt = texts.mapInArrow(deal, _PACKED).repartitionById(ranges, F.col("part").cast("int"))
     counted = dealt.mapInArrow(count, _PACKED).repartitionById(ranges, F.col("home").cast("int"))
-    return counted.sortWithinPartitions("batch").mapInArrow(order, "token long, id long, n long, pos long, s0 long, s1 long, s2 long, s3 long")
+    return counted.sortWithinPartitions("batch").mapInArrow(order, "token long, id long, n long, pos long, " + ", ".join(f"{s} long" for s in _SIGNATURE))
 
 
 def _prefixes(rows: list[tuple], percent: int) -> pa.RecordBatch:
     """The entries of a batch's documents from its rows (batch, head, body, counts)."""
     documents = np.frombuffer(next(body for _, head, body, counts in rows if head and not counts), np.int64)
     total = int(documents[0])
-    ids, n, *marks = documents[1:].reshape(6, total)
+    ids, n, *marks = documents[1:].reshape(2 + len(_SIGNATURE), total)
     shared = [(body, counts) for _, _, body, counts in rows if counts]
     packed = np.concatenate([np.frombuffer(b, np.uint64) for b, _ in shared] or [np.zeros(0, np.uint64)])
     seen = np.concatenate([np.frombuffer(c, np.uint32) for _, c in shared] or [np.zeros(0, np.uint32)])
@@ -359,8 +361,8 @@ class _Join:
     def _step(self, pairs: DataFrame) -> int:
         """Verifies the pairs not tested before, merges components; the number of links."""
         pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
-        for done in self.tested or []:
-            pairs = pairs.join(done, ["lo", "hi"], "left_anti")
+        if self.tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, self.tested), ["lo", "hi"], "left_anti")
         pairs = self.work.cut(pairs, "pairs")
         self.tested = [*(self.tested or []), pairs.select("lo", "hi")]
         self.tested[-1]._pactum_path = pairs._pactum_path
@@ -509,4 +511,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     work.drop(did.sets)
     gone = work.cut(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return rows.join(gone.withColumnRenamed("id", key), key, "left_anti").select([f"`{c}`" for c in docs.columns])
+    return work.lend(rows.join(gone.withColumnRenamed("id", key), key, "left_anti").select([f"`{c}`" for c in docs.columns]))
