@@ -1,12 +1,13 @@
 """PII by candidate gradient boosting, in DataFrame functions only.
 
 Base spans are those of four fixed patterns that pass their check (octets, Luhn, number of digits); they always count.
-Generators of high recall propose more spans, which may overlap: written-out e-mail addresses, IPv6 addresses, card-like
-and phone-like runs of digits. Each has features of its format and of the text around it; boosted trees, fitted here and
+Generators of high recall propose more spans, which may overlap: written-out e-mail addresses, whole and compressed IPv6
+addresses, card-like runs of digits in groups of any kind, phone-like ones in groups or unbroken. Each has features of its format and of the text around it; boosted trees, fitted here and
 compiled to CASE expressions, score it, and a threshold for its kind, calibrated on examples the trees did not see, decides.
 
 The trees are fitted on examples made by rule with a fixed seed, not on the corpus, so the model is the same for every
-input; their features come from the same expressions. Rows never meet: there is no shuffle, and no UDF.
+input; their features come from the same expressions. Rows never meet: there is no shuffle, and no UDF. The work on a
+text grows with its length and, but for a logarithm, with the number of its spans.
 """
 
 from __future__ import annotations
@@ -27,11 +28,16 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_V6 = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 GENERATORS = {
     "email": [r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[(]\x20?(?:dot|DOT|\.)\x20?[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++"],
-    "ip": [r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])"],
-    "card": [r"(?<![0-9])[0-9]{4}(?:[\x20._-]{1,3}[0-9]{4}){3}(?![0-9])"],
-    "phone": [r"(?<![0-9A-Za-z+])(?:\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}|00[1-9][0-9]{8,12})(?![0-9])"],
+    "ip": [r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])", rf"(?<![0-9A-Za-z:.])(?:{_V6})?::(?:{_V6})?(?![0-9A-Za-z:])"],
+    "card": [r"(?<![0-9])[0-9]{4}(?:[\x20._-]{1,3}[0-9]{4}){3}(?![0-9])", r"(?<![0-9])[0-9]{2,6}(?:[\x20._-]{1,3}[0-9]{2,6}){2,5}(?![0-9])"],
+    "phone": [
+        r"(?<![0-9A-Za-z+])(?:\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}|00[1-9][0-9]{8,12})(?![0-9])",
+        r"(?<![0-9A-Za-z+.,/-])\(?[0-9]{2,5}\)?(?:[\x20/-][0-9]{2,8}){1,4}(?![0-9A-Za-z/-])",
+        r"(?<![0-9A-Za-z+.,/-])[0-9]{7,15}(?![0-9A-Za-z/-])",
+    ],
 }
 NEAR = 28
 #: Words whose presence just before or after a span is a feature.
@@ -53,6 +59,20 @@ def let(value: Column, use) -> Column:
 
 
 _BLOCK = 256
+#: Code points in a piece of a text.
+PIECE = 1024
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points, so that a place in it costs the same wherever it is."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, size: Column) -> Column:
+    """At most PIECE code points of a text in pieces."""
+    k = F.floor(start / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(parts, k), F.lit("")), F.coalesce(F.get(parts, k + 1), F.lit("")))
+    return F.substring(both, (start - k * PIECE + 1).cast("int"), size.cast("int"))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -67,11 +87,14 @@ def matches(text: Column, pattern: str) -> Column:
     def place(found: Column) -> Column:
         between = F.split(text, pattern, -1)
         pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("size")))
-        return let(pairs, lambda p: let(F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(p, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, x: s + x["gap"] + x["size"])), lambda blocks: F.transform(p, lambda x, i: at(p, blocks, x, i))))
+        sums = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(p, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, x: s + x["gap"] + x["size"]))
+        # What lies before each block.
+        ahead = lambda blocks: F.aggregate(blocks, F.array(F.lit(0)), lambda acc, y: F.concat(acc, F.array(F.element_at(acc, -1) + y)))
+        return let(pairs, lambda p: let(ahead(sums(p)), lambda blocks: F.transform(p, lambda x, i: at(p, blocks, x, i))))
 
     def at(p: Column, blocks: Column, x: Column, i: Column) -> Column:
         block = F.floor(i / _BLOCK).cast("int")
-        ahead = F.aggregate(F.slice(blocks, F.lit(1), block), F.lit(0), lambda s, y: s + y) + F.aggregate(F.slice(p, block * _BLOCK + 1, i - block * _BLOCK), F.lit(0), lambda s, y: s + y["gap"] + y["size"])
+        ahead = F.get(blocks, block) + F.aggregate(F.slice(p, block * _BLOCK + 1, i - block * _BLOCK), F.lit(0), lambda s, y: s + y["gap"] + y["size"])
         return let(ahead + x["gap"], lambda start: F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["m"].alias("match")))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
@@ -109,12 +132,13 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(matches(text, BASE[kind]), lambda s: VALID[kind](s["match"]))
 
 
-def features(text: Column, kind: int, span: Column) -> Column:
-    """A struct of the features of a span; the text around it is NEAR characters on each side, less at the ends."""
+def features(parts: Column, kind: int, span: Column) -> Column:
+    """A struct of the features of a span of a text in pieces; the text around it is NEAR characters on each side, less
+    at the ends."""
     m = span["match"]
     size = lambda pattern: F.length(F.regexp_replace(m, pattern, ""))
     low = F.greatest(span["start"] - NEAR, F.lit(0))
-    before, after = F.lower(F.substring(text, low + 1, span["start"] - low)), F.lower(F.substring(text, span["end"] + 1, F.lit(NEAR)))
+    before, after = F.lower(cut(parts, low, span["start"] - low)), F.lower(cut(parts, span["end"], F.lit(NEAR)))
     flag = lambda c: c.cast("int")
     groups = F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")
     return let(F.struct(before.alias("b"), after.alias("a")), lambda near: F.struct(
@@ -122,13 +146,19 @@ def features(text: Column, kind: int, span: Column) -> Column:
         F.array_max(F.transform(groups, lambda g: F.length(g))).alias("longest"), size("[^A-Za-z]").alias("letters"), flag(m.rlike(r"[\[(] ?(?:at|AT|@|dot|DOT|\.)")).alias("bracket"), flag(m.rlike(r"\(")).alias("paren"),
         flag(m.rlike(r" at [^ ]*\.")).alias("plain_dot"), flag(luhn(m)).alias("luhn"), flag(m.rlike(r"(?i)(?:com|org|net|edu|gov|info|example|de|fr|es|io|co|uk)$")).alias("tld"), flag(m.rlike("^0")).alias("zeros"),
         F.size(F.array_distinct(F.split(_digits(m), ""))).alias("distinct"), flag(near["b"].rlike(r"[0-9A-Za-z#$%/=.,_-]$")).alias("before"), flag(near["a"].rlike(r"^[0-9A-Za-z%/=_-]")).alias("after"),
-        *(flag(near["b"].rlike(f"(?:{p})[^.!?]*$")).alias(c) for c, p in CUES.items()),
+        *(flag(near["b"].rlike(rf"(?:{p})\.?[^.!?]*$")).alias(c) for c, p in CUES.items()),
     ))
 
 
 # --- the examples, the trees and their thresholds -------------------------------------------------------------------
 
 
+def _luhn_ended(digits: str) -> str:
+    """The digits and the one that makes them pass."""
+    total = sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
 def _examples(seed: int = 11, each: int = 160) -> list[tuple[str, str, int]]:
     """(kind, text with the span between two \x02 marks, label): formats of personal data, and their look-alikes."""
     rnd = random.Random(seed)
@@ -152,13 +182,21 @@ def _examples(seed: int = 11, each: int = 160) -> list[tuple[str, str, int]]:
         out.append(("email", f"{f} \x02{pick(['look', 'met', 'arrived', 'was', 'held', 'sat'])} at {pick(['home', 'noon', 'work', 'night', 'last', '10', 'school'])}.{pick(['The', 'Then', '30', 'We', 'And', 'It'])}\x02 {n}", 0))
         hexes = ":".join("%x" % rnd.randrange(65536) for _ in range(8))
         out.append(("ip", f"{f} {pick(['ip ', 'host ', 'server ', 'address '])}\x02{hexes}\x02 {n}", 1))
+        short = pick(["::1", f"fe80::{rnd.randrange(1, 65536):x}", f"2001:db8::{rnd.randrange(65536):x}:{rnd.randrange(65536):x}", f"2001:db8:{rnd.randrange(65536):x}::{rnd.randrange(1, 65536):x}"])
+        out.append(("ip", f"{f} {pick(['ip ', 'host ', 'server ', 'address ', 'ping '])}\x02{short}\x02 {n}", 1))
+        out.append(("ip", f"{f} {pick(['std', 'use ', 'call ', 'a ', 'see '])}\x02{pick(['::', 'a::b', 'de::ad', 'c::d', 'bad::f'])}\x02{pick(['', ' '])}{n}", 0))
         out.append(("ip", f"{f} {pick(['', 'ratio ', 'score ', 'at ', 'date '])}\x02{':'.join(num(pick([1, 2])) for _ in range(4))}\x02 {n}", 0))
         out.append(("card", f"{f} {pick(['card ', 'visa ', 'credit card: ', 'payment by ', ''])}\x02{card(True)}\x02 {n}", 1))
         out.append(("card", f"{f} {pick(['serial ', 'order ', 'ref ', 'part ', 'item ', ''])}\x02{card(False)}\x02 {n}", 0))
+        amex = _luhn_ended("3" + pick("47") + num(12))
+        out.append(("card", f"{f} {pick(['card ', 'amex ', 'credit card: ', 'payment by '])}\x02{pick(['.', ' - ', '_', '. ']).join((amex[:4], amex[4:10], amex[10:]))}\x02 {n}", 1))
+        out.append(("card", f"{f} {pick(['serial ', 'order ', 'total ', 'date ', 'pages ', ''])}\x02{pick([' ', '.', '-']).join(num(pick([2, 3, 4])) for _ in range(pick([3, 4])))}\x02 {n}", 0))
         a, b, c = num(3), num(3), num(4)
         lead = pick(["call ", "phone: ", "tel. ", "fax ", "mobile ", "dial "])
         out.append(("phone", f"{f} {lead}\x02{pick([f'({a}) {b}-{c}', f'{a}-{b}-{c}', f'{a}.{b}.{c}', f'0{num(2)} {num(4)} {num(4)}', f'00{pick("1234")}{num(10)}'])}\x02 {n}", 1))
         out.append(("phone", f"{f} \x02({a}) {b}-{c}\x02 {n}", 1))
+        out.append(("phone", f"{f} {lead}\x02{pick([f'0{num(2)} {num(7)}', f'0{num(3)}-{num(7)}', f'0049 {num(2)} {num(7)}', num(10), f'0{num(9)}', f'0{num(3)}/{num(6)}'])}\x02 {n}", 1))
+        out.append(("phone", f"{f} {pick(['', 'isbn ', 'order ', 'total ', 'ticket ', 'ref ', 'serial ', 'page '])}\x02{pick([num(8), num(10), num(13), f'{num(4)} {num(4)}', f'{num(2)} {num(5)}', f'20{num(2)} {num(3)}', f'{num(3)}-{num(5)}'])}\x02 {n}", 0))
         out.append(("phone", f"{f} {pick(['', 'isbn ', 'order ', 'date ', 'total ', 'version ', 'ticket ', 'pages '])}\x02{pick([f'20{num(2)}-{num(2)}-{num(2)}', f'{num(2)}.{num(2)}.20{num(2)}', f'{num(3)}-{num(2)}-{num(3)}-{num(2)}', f'{num(2)} {num(3)} {num(3)}', f'{num(2)}/{num(2)}/{num(4)}', f'{a}-{b}-{c}', f'{a} {b} {c}'])}\x02 {n}", 0))
     return out
 
@@ -219,10 +257,10 @@ def _fitted(app: str) -> tuple[list, list[float]]:
         rows.append({"kind": KINDS.index(kind), "text": before + match + after, "start": len(before), "end": len(before) + len(match), "match": match, "label": label})
     table = spark.sql("SELECT inline(from_json(:rows, 'array<struct<kind:int,text:string,start:int,end:int,match:string,label:int>>'))", args={"rows": json.dumps(rows)})
     span = F.struct("start", "end", "match")
-    made = table.select(features(F.col("text"), 0, span).alias("f"), "kind", "label").select("kind", "label", *(F.col(f"f.{c}").alias(f"f_{c}") for c in FEATURES)).collect()
+    made = table.select(features(pieces(F.col("text")), 0, span).alias("f"), "kind", "label").select("kind", "label", *(F.col(f"f.{c}").alias(f"f_{c}") for c in FEATURES)).collect()
     x = np.array([[r.kind, *(r[f"f_{c}"] for c in FEATURES[1:])] for r in made], np.float64)
     y = np.array([r.label for r in made], np.float64)
-    seen = np.arange(len(y)) // 10 % 4 != 3
+    seen = np.arange(len(y)) // 16 % 4 != 3
     trees = boost(x[seen], y[seen])
     rest = SHRINK * sum(_apply(t, x[~seen]) for t in trees)
     return trees, [calibrate(rest[x[~seen, 0] == k], y[~seen][x[~seen, 0] == k]) for k in range(len(KINDS))]
@@ -249,24 +287,42 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     text = F.col("_text")
     rows = rows.select("_id", "_text", *(base_spans(text, k).alias(f"base_{k}") for k in KINDS))
-    every = F.concat(*(F.col(f"base_{k}") for k in KINDS))
+    base = {k: F.col(f"base_{k}") for k in KINDS}
     more = []
     for number, kind in enumerate(KINDS):
-        free = _free(F.concat(*(matches(text, p) for p in GENERATORS[kind])), every)
+        free = _free(_once(F.concat(*(matches(text, p) for p in GENERATORS[kind]))), list(base.values()))
         more.append(_accepted(free, text, number, trees, least[number]).alias(f"more_{kind}"))
     return rows.select("*", *more).withColumnsRenamed({"_id": id_col, "_text": "text"})
 
 
-def _free(found: Column, base: Column) -> Column:
-    """Candidates that overlap no base span."""
-    return let(base, lambda all_base: F.filter(found, lambda s: ~F.exists(all_base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+def _once(found: Column) -> Column:
+    """Candidates in order, those of several generators once."""
+    return let(F.array_sort(found), lambda a: F.filter(a, lambda s, i: (i == 0) | (F.get(a, i - 1) != s)))
+
+
+def _free(found: Column, bases: list[Column]) -> Column:
+    """Candidates that overlap no base span. Those of a kind are in order and apart from each other, so only the last
+    that begins before a candidate ends can reach into it; it is found by halving."""
+
+    def last(base: Column, s: Column) -> Column:
+        def half(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            before = F.coalesce(F.get(base, middle)["start"] < s["end"], F.lit(False))
+            return F.when(acc["lo"] >= acc["hi"], acc).otherwise(F.struct(F.when(before, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(before, acc["hi"]).otherwise(middle).alias("hi")))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + 1)).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi")), half, lambda acc: acc["lo"] - 1)
+
+    reach = lambda base, s: (F.size(base) > 0) & F.coalesce(F.get(base, last(base, s))["end"] > s["start"], F.lit(False))
+    return F.filter(found, lambda s: ~functools.reduce(lambda x, y: x | y, [reach(base, s) for base in bases]))
 
 
 def _accepted(found: Column, text: Column, kind: int, trees: list, least: float) -> Column:
     if least == float("inf"):
         return F.array().cast("array<struct<start:int,end:int,match:string>>")
     score = lambda f: sum((F.lit(SHRINK) * _case(t, f) for t in trees), F.lit(0.0))
-    return F.filter(found, lambda s: let(features(text, kind, s), lambda f: score(f) >= least))
+    chosen = lambda found: let(pieces(text), lambda parts: F.filter(found, lambda s: let(features(parts, kind, s), lambda f: score(f) >= least)))
+    return let(found, lambda found: F.when(F.size(found) == 0, found).otherwise(chosen(found)))
 
 
 def _named(kind: str) -> Column:

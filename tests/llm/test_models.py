@@ -70,6 +70,38 @@ def test_trees_as_columns_equal_trees(spark):
     assert np.allclose(got, sum(pii._apply(t, x) for t in trees))
 
 
+ADDED = {
+    "email": ["write to anna (at) example (dot) com now", "contact maria [at] mail.org"],
+    "ip": ["the host 2001:db8::8a2e:7334 is up", "ping fe80::1 please", "server 2001:db8:0:1:1:1:1:1 down"],
+    "card": ["payment by 4111.1111.1111.1111 today", "amex 3782.822463.10005 used"],
+    "phone": ["call 030 1234567 now", "mobile 0171-2345678 or so", "tel. 0049 30 1234567 there", "phone: 555-123-4567 home", "phone: 5551234567 home"],
+}
+LIKE = ["order 12345678 came", "total 20 24 99 pages", "std::vector and a::b", "look at home.The end", "date 2024-01-02 it was"]
+
+
+def test_added_formats_and_their_look_alikes(spark):
+    rows = [(k, t, kind) for k, (kind, t) in enumerate((kind, t) for kind, ts in ADDED.items() for t in ts)]
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame(rows, DOCS)).collect()}
+    missed = [t for k, t, kind in rows if not got[k][f"more_{kind}"]]
+    assert not missed
+    like = pii.spans(spark.createDataFrame([(k, t, "") for k, t in enumerate(LIKE)], DOCS)).collect()
+    assert not [r.text for r in like if any(r[f"more_{kind}"] for kind in pii.KINDS)]
+
+
+def test_places_overlaps_and_many_spans(spark):
+    rnd = np.random.default_rng(4)
+    bits = ["é", " ", "a@b.co", "1.2.3.4", "+1 212 555 0100", "x (at) y (dot) com", "10.0.0.1:22", "call 030 1234567", "4111-1111-1111-1111", "\n"]
+    rows = [(k, "".join(rnd.choice(bits, rnd.integers(0, 60))), "") for k in range(60)] + [(99, "a@b.co, call 555-123-4567; " * 4000, "")]
+    for r in pii.spans(spark.createDataFrame(rows, DOCS)).collect():
+        base = [s for kind in pii.KINDS for s in r[f"base_{kind}"]]
+        for kind in pii.KINDS:
+            for s in [*r[f"base_{kind}"], *r[f"more_{kind}"]]:
+                assert r.text[s.start : s.end] == s.match
+            if r.doc_id < 99:
+                assert not [s for s in r[f"more_{kind}"] for b in base if b.start < s.end and s.start < b.end]
+    assert len(r.base_email) == 4000 == len(r.more_phone)
+
+
 def test_redact_and_plan(spark):
     docs = spark.createDataFrame([(1, "é x@y.zz, +1 212 555 0100.", "s"), (2, None, "s")], DOCS)
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: "é [email], [phone].", 2: ""}
