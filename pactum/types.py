@@ -11,6 +11,14 @@ class ContractError(ValueError):
     """A contract that cannot be compiled."""
 
 
+class ContractCompileError(ContractError):
+    """Defaults or literals of a contract that break its own constraints; diagnostics lists them all."""
+
+    def __init__(self, found: list[str]):
+        super().__init__("; ".join(found))
+        self.diagnostics = found
+
+
 @dataclass(frozen=True)
 class Check:
     name: str
@@ -144,9 +152,9 @@ def tag_of(arms: list[Type]) -> str | None:
 
 
 def intersection(*members: Type) -> Type:
-    """Objects are merged into one; a later member's field wins."""
+    """Objects are merged into one, and a later member's field wins; a value of other types is of each of them."""
     if any(m.kind != "object" for m in members):
-        raise ContractError("only objects can be intersected")
+        return Type("all", items=members)
     fields: dict[str, Type] = {}
     for m in members:
         fields.update(m.fields)
