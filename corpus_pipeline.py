@@ -50,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again as the next one's documents."""
+    """Each stage's result is written to the shared folder and read again as the next one's documents; then the table it
+    was made from goes."""
     work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = work.cut(stage(spark, docs, sf_dir), name)
+        docs = before = work.cut(stage(spark, docs, sf_dir), name, before)
     return docs

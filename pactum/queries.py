@@ -5,11 +5,14 @@ Most queries give key columns, ok (does the row satisfy the contract) and errors
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum import api, casing, jsonschema, parse, serialize
 from pactum import types as T
+from pactum.shared import delete, shared_root
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,7 +121,6 @@ _check("message_override", "lineitem", list(_Q), "l_quantity", T.number.minimum(
 _check("literal", "events", ["event_id"], "event_type", T.literal("click"), [("Literal<''click''>", "v <> 'click'")])
 _check("enum", "orders", ["o_orderkey"], "o_orderstatus", T.enum("F", "O"), [("Type<''F''|''O''>", "v NOT IN ('F','O')")])
 _check("template_literal", "customer", ["c_custkey"], "c_name", T.template("Customer#", T.number), [("`Customer#${number}`", "NOT regexp_full_match(v, 'Customer#[0-9]+(\\.[0-9]+)?')")])
-_check("array_paths", "embeddings", ["vec_id"], "embedding", T.array(T.number), [("Type<Array>", "v IS NULL")])
 _check("tuple", "orders", ["o_orderkey"], lambda: F.struct(F.col("o_orderstatus").alias("_0"), F.col("o_totalprice").alias("_1")), T.tuple_of(T.enum("O", "F"), T.number.minimum(50000)), [("Type<''O''|''F''>", "v[1] NOT IN ('O','F')"), ("Minimum<50000>", "v[2]::double < 50000")], sql_value="[o_orderstatus, o_totalprice::varchar]")
 _check("record", "events", ["event_id"], lambda: F.create_map(F.lit("value"), "value"), T.record(T.number.minimum(20)), [("Minimum<20>", "v < 20")], sql_value="value")
 _check("property_names", "events", ["event_id"], lambda: F.create_map("event_type", "value"), T.record(T.number).property_names(T.string.max_length(5)), [("MaxLength<5>", "length(v) > 5")], sql_value="event_type")
@@ -132,49 +134,52 @@ _check("mode_strict", "events", ["event_id"], lambda: F.struct("event_id", F.whe
 _check("union", "events", ["event_id"], "event_type", T.union("click", T.string.max_length(4)), [("Type<''click''|string>", "v <> 'click' AND length(v) > 4")])
 _check("tagged_union", "events", ["event_id"], lambda: F.struct("event_type", "value"), T.union(*(T.obj(event_type=T.literal(k), value=T.number.maximum(m)) for k, m in (("click", 50), ("view", 20), ("signup", 70), ("error", 90), ("purchase", 10)))), [(f"Maximum<{m}>", f"v[1] = '{k}' AND v[2]::double > {m}") for k, m in (("click", 50), ("view", 20), ("signup", 70), ("error", 90), ("purchase", 10))], sql_value="[event_type, value::varchar]")
 
-# Formats, on values that are right for some ids and broken for others.
-_FORMATS = [
-    ("fmt_email", "email", "concat('u', {k}, CASE WHEN {k} % 3 = 0 THEN '..x' ELSE '.x' END, '@host', CASE WHEN {k} % 5 = 0 THEN '' ELSE '.org' END)", "{k} % 3 = 0 OR {k} % 5 = 0"),
-    ("fmt_uuid", "uuid", "concat('0f8fad5b-d9cb-', CASE WHEN {k} % 4 = 0 THEN '9' ELSE '4' END, '69f-a165-70867728950e')", "{k} % 4 = 0"),
-    ("fmt_ipv4", "ipv4", "concat({k} % 300, '.0.', {k} % 7, '.255')", "{k} % 300 > 255"),
-    ("fmt_ipv6", "ipv6", "concat('2001:db8::', CASE WHEN {k} % 3 = 0 THEN 'g' ELSE 'f' END, {k} % 10)", "{k} % 3 = 0"),
-    ("fmt_date", "date", "concat('2024-02-', CAST(20 + {k} % 12 AS varchar(2)))", "{k} % 12 > 9"),
-    ("fmt_date_time", "date-time", "concat('2023-02-', CAST(20 + {k} % 12 AS varchar(2)), 'T10:00:00', CASE WHEN {k} % 5 = 0 THEN '' ELSE 'Z' END)", "{k} % 12 > 8 OR {k} % 5 = 0"),
-    ("fmt_time", "time", "concat(CAST(10 + {k} % 20 AS varchar(2)), ':00:00+01:00')", "{k} % 20 > 13"),
-    ("fmt_duration", "duration", "concat('P', {k} % 9, CASE WHEN {k} % 4 = 0 THEN 'DT' ELSE 'DT1H' END)", "{k} % 4 = 0"),
-    ("fmt_byte", "byte", "concat('QUJD', CASE WHEN {k} % 3 = 0 THEN 'QQ=' ELSE 'QQ==' END)", "{k} % 3 = 0"),
-    ("fmt_object_id", "objectId", "concat('507f1f77bcf86cd79943901', CASE WHEN {k} % 3 = 0 THEN 'g' ELSE 'a' END)", "{k} % 3 = 0"),
-    ("fmt_hostname", "hostname", "concat('a', {k}, CASE WHEN {k} % 4 = 0 THEN '-' ELSE '' END, '.org')", "{k} % 4 = 0"),
-    ("fmt_url", "url", "concat(CASE WHEN {k} % 4 = 0 THEN 'mailto:' ELSE 'https://' END, 'h', {k}, '.org/p')", "{k} % 4 = 0"),
-    ("fmt_uri", "uri", "concat(CASE WHEN {k} % 4 = 0 THEN '' ELSE 'urn:' END, 'x', {k})", "{k} % 4 = 0"),
-    ("fmt_uri_reference", "uri-reference", "concat('/p', CASE WHEN {k} % 4 = 0 THEN ' ' ELSE '' END, {k})", "{k} % 4 = 0"),
-    ("fmt_uri_template", "uri-template", "concat('/p/{{id', CASE WHEN {k} % 4 = 0 THEN '' ELSE '}}' END)", "{k} % 4 = 0"),
-    ("fmt_iri", "iri", "concat(CASE WHEN {k} % 4 = 0 THEN '' ELSE 'x:' END, 'é', {k})", "{k} % 4 = 0"),
-    ("fmt_iri_reference", "iri-reference", "concat('é', CASE WHEN {k} % 4 = 0 THEN '<' ELSE '' END, {k})", "{k} % 4 = 0"),
-    ("fmt_idn_hostname", "idn-hostname", "concat('é', {k}, CASE WHEN {k} % 4 = 0 THEN '-' ELSE '' END, '.org')", "{k} % 4 = 0"),
-    ("fmt_idn_email", "idn-email", "concat('é', {k}, CASE WHEN {k} % 4 = 0 THEN '' ELSE '@é.org' END)", "{k} % 4 = 0"),
-    ("fmt_unknown", "no-such-format", "concat('a', {k})", "true"),
-    ("fmt_password", "password", "concat('a', {k})", "false"),
-    ("fmt_regex", "regex", "concat('(a', CASE WHEN {k} % 4 = 0 THEN '+)+' ELSE ')' END, {k} % 10)", "{k} % 4 = 0"),
-]
-
-
-def _format(name: str, fmt: str, value: str, broken: str) -> None:
-    made = value.format(k="o_orderkey").replace("varchar(2)", "string")
-    code = f"Format<{fmt}>"
+# Formats: for each the texts that have it and those that don't, dealt over the rows.
+_FORMATS = {
+    "fmt_email": ("email", ["a@b.co", "first.last+tag@sub.host-1.org", "x!#$%&'*+/=?^_`{|}~-@d.io", "A@B.CO"], ["a", "@b.co", "a@", "a@b", "a..b@c.de", ".a@b.co", "a.@b.co", "a@@b.co", "a@-b.co", "a@b-.co", "a@b.c", "a@b.c1", "a b@c.de", "é@b.co"]),
+    "fmt_idn_email": ("idn-email", ["é@é.org", "用户@例子.广告", "a1@b2.co"], ["é", "é@", "é..a@é.org", ".é@é.org", "é@-é.org", "é@é.o", "é@é.1a"]),
+    "fmt_uuid": ("uuid", ["0f8fad5b-d9cb-469f-a165-70867728950e", "0F8FAD5B-D9CB-869F-B165-70867728950E", "00000000-0000-0000-0000-000000000000"], ["0f8fad5b-d9cb-969f-a165-70867728950e", "0f8fad5b-d9cb-469f-c165-70867728950e", "0f8fad5bd9cb469fa16570867728950e", "0f8fad5b-d9cb-069f-a165-70867728950e", ""]),
+    "fmt_url": ("url", ["http://ab", "HTTPS://host.org/p?q#f", "ftp://x.y", "http://a b", "https://é1"], ["http://a", "http://", "mailto:x@y.z", "http:///ab", "http://.ab", "http://?ab", "http://#ab", "http://ab c", "//ab.org", " http://ab"]),
+    "fmt_ipv4": ("ipv4", ["0.0.0.0", "255.255.255.255", "1.2.3.4", "01.002.3.4"], ["256.1.1.1", "1.2.3", "1.2.3.4.5", "1.2.3.a", "1.2.3.4 ", "0001.2.3.4"]),
+    "fmt_ipv6": ("ipv6", ["1:2:3:4:5:6:7:8", "::", "::1", "1::", "2001:db8::ff00:42:8329", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::8", "fe80::1%eth0", "fe80:%a", "::1.2.3.4", "::ffff:1.2.3.4", "::ffff:0:1.2.3.4", "64:ff9b::192.0.2.33", "ABCD::"], ["FE80::1%eth0", "::FFFF:1.2.3.4", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7", ":::", "1::2::3", "12345::", "g::", "1:2:3:4:5:6:7::8", "::1.2.3.256", "1:2:3:4:5::1.2.3.4", ":1", "1:", "fe80::1%", ""]),
+    "fmt_date": ("date", ["2024-02-29", "2023-12-31", "0001-01-01"], ["2023-02-29", "2024-13-01", "2024-00-10", "2024-04-31", "24-01-01", "2024-1-1", "2024-02-29T00:00:00Z"]),
+    "fmt_date_time": ("date-time", ["2024-02-29T10:00:00Z", "2023-01-01t23:59:59.123+01:00", "2023-01-01T00:00:00z"], ["2023-02-29T10:00:00Z", "2023-01-01T24:00:00Z", "2023-01-01T10:00:00", "2023-01-01 10:00:00Z", "2023-01-01"]),
+    "fmt_time": ("time", ["10:00:00Z", "23:59:59.5+01:00", "00:00:00-23:59"], ["24:00:00Z", "10:60:00Z", "10:00:00", "1:00:00Z"]),
+    "fmt_duration": ("duration", ["P1Y", "P1Y2M3DT4H5M6S", "PT1H", "P2W", "P1DT1H"], ["P", "PT", "P1DT", "1D", "P1H", "P-1D", "P1D2Y"]),
+    "fmt_byte": ("byte", ["", "QUJD", "QUI=", "QQ=="], ["QQ=", "QQ", "Q===", "QU-D", "QUJD\n"]),
+    "fmt_object_id": ("objectId", ["507f1f77bcf86cd799439011", "507F1F77BCF86CD799439011"], ["507f1f77bcf86cd79943901", "507f1f77bcf86cd79943901g", ""]),
+    "fmt_hostname": ("hostname", ["localhost", "LocalHost", "a.bc", "x-1.host.org", "1.2.ab"], ["a", "192.168.0.1", "-a.org", "a-.org", "a..org", "a.b", "a.b1", "a_b.org", "", "a.org."]),
+    "fmt_idn_hostname": ("idn-hostname", ["localhost", "é.org", "例子.广告", "a-é.éa"], ["é", "-é.org", "é-.org", "é.o", "é.1a", ""]),
+    "fmt_uri": ("uri", ["http://a", "urn:x", "mailto:a@b.c", "http://é.org", "a:%zz", "x:", "file:", "x+1.-:a"], ["http:", "https:", "ws:", "noscheme", "1a:b", "x:a b", "x:a<b", "x:a|b", "x:^", "", ":a"]),
+    "fmt_uri_reference": ("uri-reference", ["", "é", "/p", "a/b?c#d", "//host/p", "urn:x", "../x", "http:", "?q", "//u@h.org:80/x", "//[::1]/"], ["/p q", "a<b", "a{b}", "//", "https:", "//:80", "a\\b", "//h:port", "a^b"]),
+    "fmt_iri": ("iri", ["x:é", "x:a/b", "http://é.org/ü", "a:<>", "http:x"], ["é", "x:", "x:a b", "1:a", "", "x:\u007fa"]),
+    "fmt_iri_reference": ("iri-reference", ["", "é", "é<4", "/é|ü", "x:é", "//é.org/<a>", "//"], ["é ü", "a\tb", "//h<x/", "a\u007fb"]),
+    "fmt_uri_template": ("uri-template", ["/p/{id}", "a'b", "{?a,b*,c:3}", "{+x.y}", "é{%41}", "plain"], ["", "/p/{id", "/p/id}", "{}", "{a b}", "{a:0}", "{{a}}", "a b", "{a..b}", "{a:12345}"]),
+    "fmt_unknown": ("no-such-format", [], ["a", ""]),
+    "fmt_password": ("password", ["a", "", "a b"], []),
+    "fmt_regex": ("regex", ["(a)1", "((a+))+", "((a|b))+", "a+b*", "[(+]+", "(a+)?", "a{2}"], ["(a+)+", "(a+){2}", "(a{2})+", "(a|b){3}", "(a|b)*", "((a)+)+", "(a)\\1", "(", "a)", "["]),
+}
+
+
+def _format(name: str, fmt: str, good: list[str], bad: list[str]) -> None:
+    values = good + bad
 
     def run(spark, sf_dir):
-        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(made).alias("v"))
+        texts = F.element_at(F.array(*map(F.lit, values)), (F.col("o_orderkey") % len(values) + 1).cast("int"))
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", texts.alias("v"))
         c = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.string.format(fmt))
         return rows.select("o_orderkey", "v", F.coalesce(c.ok, F.lit(False)).alias("ok"), codes(c.errors).alias("errors"))
 
+    def texts(items):
+        return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + f"][o_orderkey % {len(items)} + 1]"
+
     QUERIES[name] = run
-    b = broken.format(k="o_orderkey")
-    SQL[name] = f"SELECT o_orderkey, {value.format(k='o_orderkey')} AS v, NOT ({b}) AS ok, CASE WHEN {b} THEN '{code}' ELSE '' END AS errors FROM orders"
+    ok = f"(o_orderkey % {len(values)} < {len(good)})"
+    SQL[name] = f"SELECT o_orderkey, {texts(values)} AS v, {ok} AS ok, CASE WHEN {ok} THEN '' ELSE 'Format<{fmt}>' END AS errors FROM orders"
 
 
-for _row in _FORMATS:
-    _format(*_row)
+for _name, _row in _FORMATS.items():
+    _format(_name, *_row)
 
 
 def _rewrite(name: str, value: str, contract: T.Type, sql: str, from_=None) -> None:
@@ -221,6 +226,195 @@ def case_preserve_ends(spark, sf_dir):
     return casing.convert_casing(df, "camelCase", preserve_ends=False)
 
 
+def _first_error(p: Column) -> list[Column]:
+    return [p["ok"].alias("ok"), p["error"]["path"].alias("path"), p["error"]["message"].alias("message")]
+
+
+@query("array_paths", """SELECT vec_id, list_filter(generate_series(0, len(embedding) - 1), lambda i: embedding[i + 1] > 0.2).list_transform(lambda i: concat('v[', i, ']')).list_aggregate('string_agg', '|') AS paths FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.2)) > 0""")
+def array_paths(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    made = api.compile_column(F.struct("v"), rows.select("v").schema, T.obj(v=T.array(T.number.maximum(0.2))))
+    return rows.select("vec_id", made.errors.alias("e")).where(F.size("e") > 0).select("vec_id", F.array_join(F.transform("e", lambda x: x["path"]), "|").alias("paths"))
+
+
+@query("requires_relative", "SELECT o_orderkey, o_orderkey % 3 = 0 AS ok, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a.b: Requires<.c>|a.b: Requires<..d>' END AS errors FROM orders")
+def requires_relative(spark, sf_dir):
+    """.c stands beside the value, ..d beside the object around it; e.f leads from the root."""
+    there = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
+    a = F.struct(F.col("o_orderkey").alias("b"), there.alias("c"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.struct(a.alias("a"), there.alias("d"), F.struct(F.col("o_orderkey").alias("f")).alias("e")).alias("v"))
+    t = T.obj(a=T.obj(b=T.integer.requires(".c", "..d", "e.f"), c=T.string.opt()), d=T.string.opt(), e=T.anything)
+    made = api.compile_column(F.col("v"), rows.schema["v"].dataType, t)
+    said = F.array_join(F.transform(made.errors, lambda e: F.concat(e["path"], F.lit(": "), e["error"])), "|")
+    return rows.select("o_orderkey", F.coalesce(made.ok, F.lit(False)).alias("ok"), said.alias("errors"))
+
+
+@query("map", "SELECT event_id, event_id % 2 = 0 AND value <= 50 AS ok, concat_ws('|', CASE WHEN event_id % 2 <> 0 THEN 'm.key(' || event_id || '): MultipleOf<2>' END, CASE WHEN value > 50 THEN 'm[' || event_id || ']: Maximum<50>' END) AS errors FROM events")
+def map_query(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.create_map("event_id", "value").alias("m"))
+    made = api.compile_column(F.struct("m"), rows.select("m").schema, T.obj(m=T.map_of(T.integer.multiple_of(2), T.number.maximum(50))))
+    said = F.array_join(F.transform(made.errors, lambda e: F.concat(e["path"], F.lit(": "), e["error"])), "|")
+    return rows.select("event_id", F.coalesce(made.ok, F.lit(False)).alias("ok"), said.alias("errors"))
+
+
+#: A value that is left out, null, right or wrong, as JSON.
+_ABSENT = """CASE CAST(event_id % 4 AS int) WHEN 0 THEN '{"a":1}' WHEN 1 THEN '{"a":1,"b":null}' WHEN 2 THEN '{"a":1,"b":"x"}' ELSE '{"a":1,"b":7}' END"""
+
+
+def _presence(name: str, b: T.Type, good: str) -> None:
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.expr(_ABSENT)).alias("v"))
+        made = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.obj(a=T.number, b=b))
+        return rows.select("event_id", F.coalesce(made.ok, F.lit(False)).alias("ok"), F.get(made.errors, F.lit(0))["error"].alias("error"))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT event_id, event_id % 4 IN ({good}) AS ok, CASE WHEN event_id % 4 NOT IN ({good}) THEN 'Type<string>' END AS error FROM events"
+
+
+_presence("optional", T.string.opt(), "0, 2")
+_presence("nullable", T.string.null(), "1, 2")
+_presence("nullish_json", T.string.nullish(), "0, 1, 2")
+
+
+def _parsed(name: str, values: list[tuple[str, str | None, str | None, str | None]], t: T.Type, show=None, **options) -> None:
+    """Texts, each with what parse() makes of it: (text, data as text, error path, error message)."""
+
+    def run(spark, sf_dir):
+        texts = F.element_at(F.array(*(F.lit(v[0]) for v in values)), (F.col("event_id") % len(values) + 1).cast("int"))
+        p = _table(spark, sf_dir, "events").select("event_id", parse.parse(texts, t, **options).alias("p"))
+        return p.select("event_id", *_first_error(F.col("p")), (show or F.to_json)(F.col("p.data")).alias("data"))
+
+    def pick(k):
+        return "[" + ", ".join("NULL" if v[k] is None else "'" + v[k].replace("'", "''") + "'" for v in values) + f"][event_id % {len(values)} + 1]"
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT event_id, {pick(3)} IS NULL AS ok, {pick(2)} AS path, {pick(3)} AS message, {pick(1)} AS data FROM events"
+
+
+_parsed("parse_kinds", [
+    ('{"s":"x","n":1,"b":true,"l":["a"]}', '{"s":"x","n":1.0,"b":true,"l":["a"]}', None, None), ('{"s":5,"n":1,"b":true,"l":[]}', None, "s", "Type<string>"),
+    ('{"s":true,"n":1,"b":true,"l":[]}', None, "s", "Type<string>"), ('{"s":{"x":1},"n":1,"b":true,"l":[]}', None, "s", "Type<string>"), ('{"s":null,"n":1,"b":true,"l":[]}', None, "s", "Type<string>"),
+    ('{"s":"x","n":"1","b":true,"l":[]}', None, "n", "Type<number>"), ('{"s":"x","n":1,"b":"true","l":[]}', None, "b", "Type<boolean>"), ('{"s":"x","n":1,"b":true,"l":"a"}', None, "l", "Type<Array>"),
+    ('{"s":"x","n":1,"b":true,"l":["a",2]}', None, "l[1]", "Type<string>"), ('{"n":1,"b":true,"l":[]}', None, "s", "Type<string>"), ("[]", None, "", "Type<Object>"), ("null", None, "", "Type<Object>"), ('{"s":', None, "", "Invalid JSON"),
+], T.obj(s=T.string, n=T.number, b=T.boolean, l=T.array(T.string)))
+_parsed("parse_strict", [('{"a":"x"}', '{"a":"x"}', None, None), ('{"a":"x","z":1}', None, "", "PropertyNotAllowed<z>"), ('{"a":1,"z":1}', None, "a", "Type<string>")], T.obj(a=T.string), mode="strict")
+_parsed("parse_strip", [('{"a":"x"}', '{"a":"x"}', None, None), ('{"a":"x","z":1}', '{"a":"x"}', None, None)], T.obj(a=T.string), mode="strip")
+_parsed("parse_relaxed", [('{"a":"x"}', '{"a":"x","_rest":{}}', None, None), ('{"a":"x","z":[1]}', '{"a":"x","_rest":{"z":[1]}}', None, None)], T.obj(a=T.string), mode="relaxed")
+_parsed("parse_union", [('{"v":"x"}', '{"v":"x"}', None, None), ('{"v":5}', '{"v":5.0}', None, None), ('{"v":true}', None, "v", "Type<string|number>"), ("{}", None, "v", "Type<string|number>")], T.obj(v=T.union(T.string, T.number)))
+_parsed("parse_tagged", [('{"k":"a","x":1,"y":2}', '{"k":"a","x":1.0}', None, None), ('{"k":"b","y":" q "}', '{"k":"b","y":"q"}', None, None), ('{"k":"c"}', None, "", "Type<Object|Object>"), ('{"k":"a","x":"1"}', None, "x", "Type<number>")], T.union(T.obj(k=T.literal("a"), x=T.number), T.obj(k=T.literal("b"), y=T.string.trim())))
+_parsed("parse_scalar", [("5", "5.0", None, None), ("-2.5", "-2.5", None, None), ('"5"', None, "", "Type<number>"), ("5 6", None, "", "Invalid JSON"), ("3", None, "", "Minimum<5>")][:4] + [("-7", "-7.0", None, None)], T.number, show=lambda c: c.cast("string"))
+_parsed("parse_query_dupes", [
+    ("n=1&t=x&t=y&b=on", '{"n":1.0,"t":["x","y"],"b":true}', None, None), ("n=0x10&t=x&b=", '{"n":16.0,"t":["x"],"b":true}', None, None), ("n=1&b", '{"n":1.0,"t":[],"b":true}', None, None),
+    ("n=1&n=2&b=no", None, "n", "Type<number>"), ("n=1&b=maybe", None, "b", "Type<boolean>"), ("?n=1", None, "", "Invalid query"), ("n=%31&t=a%2Bb&t=a+b&t=%zz&b=0", '{"n":1.0,"t":["a+b","a b","%zz"],"b":false}', None, None),
+    ("n=1&t[]=x&t[]=y&b=1", '{"n":1.0,"t":["x","y"],"b":true}', None, None),
+], T.obj(n=T.number, t=T.array(T.string), b=T.boolean), from_="query")
+_parsed("parse_query_record", [("m[a]=1&m[b]=2", '{"m":{"a":1.0,"b":2.0}}', None, None), ("m[a]=x", None, "m.a", "Type<number>"), ("m=1", None, "m", "Type<Object>")], T.obj(m=T.record(T.number)), from_="query")
+_parsed("parse_regexp", [('{"r":"/a+/gi"}', '{"r":{"source":"a+","flags":"gi"}}', None, None), ('{"r":{"source":"b"}}', '{"r":{"source":"b","flags":""}}', None, None), ('{"r":"a"}', None, "r", "Type<RegExp>"), ('{"r":"/(/"}', None, "r", "Type<RegExp>")], T.obj(r=T.regexp))
+
+
+@query("parse_reviver", "SELECT event_id, event_id % 3 <> 2 AS ok, CASE WHEN event_id % 3 = 2 THEN 'a.b' END AS path, CASE WHEN event_id % 3 = 2 THEN 'no' END AS message, CASE WHEN event_id % 3 <> 2 THEN '{\"a\":{\"b\":' || (event_id + 1) || '.0}}' END AS data FROM events")
+def parse_reviver(spark, sf_dir):
+    """Numbers grow by one, members named gone go, a text raises."""
+
+    def reviver(key, value):
+        if isinstance(value, str):
+            raise ValueError("no")
+        return parse.ABSENT if key == "gone" else value + 1 if isinstance(value, int) and not isinstance(value, bool) else value
+
+    text = F.when(F.col("event_id") % 3 == 2, F.lit('{"a":{"b":"x"}}')).otherwise(F.concat(F.lit('{"a":{"b":'), "event_id", F.lit(',"gone":[1]}}')))
+    p = _table(spark, sf_dir, "events").select("event_id", parse.parse(text, T.obj(a=T.obj(b=T.number)), mode="strict", reviver=reviver).alias("p"))
+    return p.select("event_id", *_first_error(F.col("p")), F.to_json("p.data").alias("data"))
+
+
+@query("union_issues", "SELECT event_id, 'Type<''click''|string>' AS error, 'Literal<''click''>|MaxLength<4>' AS issues, 'Type<''click''|string>|Literal<''click''>|MaxLength<4>' AS grouped FROM events WHERE event_type <> 'click' AND length(event_type) > 4")
+def union_issues(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("v"))
+    made = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.union("click", T.string.max_length(4)))
+    e = rows.select("event_id", made.errors.alias("e")).where(F.size("e") > 0)
+    grouped = F.array_join(F.map_values(api.group_errors_by_path(F.col("e")))[0]["errors"], "|")
+    return e.select("event_id", F.col("e")[0]["error"].alias("error"), F.array_join(F.transform(F.col("e")[0]["issues"], lambda x: x["error"]), "|").alias("issues"), grouped.alias("grouped"))
+
+
+@query("tagged_union_data", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN concat('{\"k\":\"a\",\"x\":\"', lower(o_orderstatus), '\"}') ELSE '{\"k\":\"b\",\"y\":\"none\"}' END AS data FROM orders")
+def tagged_union_data(spark, sf_dir):
+    """Each arm's own fields, transforms and defaults; the other arm's fields are stripped."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("k"), F.col("o_orderstatus").alias("x"), F.lit(None).cast("string").alias("y")).alias("v"))
+    t = T.union(T.obj(k=T.literal("a"), x=T.string.lower()), T.obj(k=T.literal("b"), y=T.string.with_default("none")))
+    made = api.compile_column(F.col("v"), rows.schema["v"].dataType, t, mode="strip")
+    return rows.select("o_orderkey", F.to_json(made.data).alias("data"))
+
+
+@query("from_callback", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::double ELSE -1.0 END AS v FROM orders")
+def from_callback(spark, sf_dir):
+    """The callback sees only values that aren't of the type: here NaN."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("double")).otherwise(F.lit(float("nan"))).alias("v"))
+    made = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.number, from_=lambda c, ctx: F.lit(-1.0))
+    return rows.select("o_orderkey", made.data.alias("v"))
+
+
+@query("transform_list", "SELECT o_orderkey, o_orderstatus || '-string' || '!' AS v FROM orders")
+def transform_list(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("s")).alias("v"))
+    steps = [lambda c, ctx: F.concat(c, F.lit("-" + ctx["type"])), lambda c, ctx: F.concat(c, F.lit("!"))]
+    made = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.obj(s=T.string), transform=steps)
+    return rows.select("o_orderkey", made.data["s"].alias("v"))
+
+
+@query("custom_context", "SELECT o_orderkey, o_totalprice < 200000 OR o_orderstatus = 'F' AS ok FROM orders")
+def custom_context(spark, sf_dir):
+    """A constraint that looks at the value beside its own."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_totalprice", "o_orderstatus").alias("v"))
+    t = T.obj(o_totalprice=T.number.custom(lambda c, ctx: (c < 200000) | (ctx["parent"]["o_orderstatus"] == "F")), o_orderstatus=T.string)
+    return rows.select("o_orderkey", api.compile_column(F.col("v"), rows.schema["v"].dataType, t).ok.alias("ok"))
+
+
+@query("intersection_generic", "SELECT o_orderkey, length(o_orderpriority) >= 6 AND o_orderpriority LIKE '1%' AS ok, concat_ws('|', CASE WHEN length(o_orderpriority) < 6 THEN 'MinLength<6>' END, CASE WHEN NOT o_orderpriority LIKE '1%' THEN 'Pattern<^1>' END) AS errors FROM orders")
+def intersection_generic(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("v"))
+    made = api.compile_column(F.col("v"), rows.schema["v"].dataType, T.intersection(T.string.min_length(6), T.string.pattern("^1")))
+    return rows.select("o_orderkey", F.coalesce(made.ok, F.lit(False)).alias("ok"), codes(made.errors).alias("errors"))
+
+
+#: Doubles and how they are written.
+_NUMBERS = {"1e20": "100000000000000000000", "1e21": "1e+21", "1.5e300": "1.5e+300", "0.0001": "0.0001", "0.000001": "0.000001", "1e-7": "1e-7", "-1.25e-9": "-1.25e-9", "123.456": "123.456", "-0.0": "0", "1e7": "10000000", "12345678.9": "12345678.9", "-3.0": "-3", "5e-324": "5e-324"}
+
+
+@query("stringify_numbers", "SELECT o_orderkey, [" + ", ".join(f"'{x}'" for x in _NUMBERS.values()) + f"][o_orderkey % {len(_NUMBERS)} + 1] AS json FROM orders")
+def stringify_numbers(spark, sf_dir):
+    value = F.element_at(F.array(*(F.lit(float(x)) for x in _NUMBERS)), (F.col("o_orderkey") % len(_NUMBERS) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", value.alias("v"))
+    return rows.select("o_orderkey", serialize.json_text(F.col("v"), rows.schema["v"].dataType).alias("json"))
+
+
+@query("stringify_query_nested", "SELECT o_orderkey, concat('t%5B0%5D=a&t%5B1%5D=', o_orderkey, '&m%5Bx%5D=', o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '&o=1' ELSE '' END, '&d%5Be%5D=&d%5Bp%5D%5B%5D=1') AS q FROM orders")
+def stringify_query_nested(spark, sf_dir):
+    """A VARIANT holds the keys of its objects in order."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.struct(F.lit("a").alias("_0"), F.col("o_orderkey").alias("_1")).alias("t"), F.create_map(F.lit("x"), "o_orderkey").alias("m"), F.when(F.col("o_orderkey") % 2 == 0, 1).alias("o"), F.parse_json(F.lit('{"p":[1],"e":{}}')).alias("d")).alias("v"))
+    t = T.obj(t=T.tuple_of(T.string, T.integer), m=T.record(T.integer), o=T.integer.opt(), d=T.anything)
+    return rows.select("o_orderkey", serialize.query_text(F.col("v"), rows.schema["v"].dataType, t).alias("q"))
+
+
+@query("stringify_union", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '{\"k\":\"a\",\"x\":1}' ELSE '{\"k\":\"b\",\"y\":[\"z\",2]}' END AS json FROM orders")
+def stringify_union(spark, sf_dir):
+    """Only the fields of the arm that the tag names; a tuple is a list."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("k"), F.lit(1).alias("x"), F.struct(F.lit("z").alias("_0"), F.lit(2).alias("_1")).alias("y")).alias("v"))
+    t = T.union(T.obj(k=T.literal("a"), x=T.integer), T.obj(k=T.literal("b"), y=T.tuple_of(T.string, T.integer)))
+    return rows.select("o_orderkey", serialize.json_text(F.col("v"), rows.schema["v"].dataType, t).alias("json"))
+
+
+@query("stringify_replacer", "SELECT n_nationkey, concat('{\"n_name\":\"', lower(n_name), '\"}') AS json FROM nation")
+def stringify_replacer(spark, sf_dir):
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    write = serialize.serializer(df.schema, replacer=lambda k, v: parse.ABSENT if k == "n_nationkey" else v.lower() if isinstance(v, str) else v)
+    return df.select("n_nationkey", write(F.struct(*df.columns)).alias("json"))
+
+
+@query("case_json", """SELECT o_orderkey, concat('{"orderKey":', o_orderkey, ',"a1BC":[{"userID":1}],"someConst":null}') AS json FROM orders""")
+def case_json(spark, sf_dir):
+    text = F.concat(F.lit('{"order_key":'), "o_orderkey", F.lit(',"A1B-C":[{"user_id":1}],"SOME_CONST":null}'))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", casing.convert_json(text, "camelCaseID").alias("json"))
+
+
 # JSON Schema, on JSON made from rows.
 _ORDER_JSON = "to_json(named_struct('id', o_orderkey, 'status', o_orderstatus, 'total', o_totalprice, 'note', CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, 'tags', array(o_orderstatus, 'F', CAST(o_orderkey % 4 AS string))))"
 _SCHEMAS = {
@@ -263,6 +457,53 @@ def _schema(name: str, schema, sql: str) -> None:
     QUERIES[name], SQL[name] = run, f"SELECT o_orderkey, {sql} AS ok FROM orders"
 
 
+def _said(errors: Column) -> Column:
+    return F.array_join(F.array_sort(F.transform(errors, lambda e: F.concat(e["path"], F.lit(": "), e["error"]))), "|")
+
+
+def _schema_errors(name: str, schema, tests: list[tuple[str, str]], mode: str = "strict") -> None:
+    """tests: (path: code, SQL condition that breaks it), in the order of their texts."""
+
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER_JSON).alias("j"))
+        return rows.select("o_orderkey", _said(jsonschema.schema_errors(F.col("j"), schema, mode)).alias("errors"))
+
+    parts = ", ".join("CASE WHEN {} THEN '{}' END".format(c, k.replace("'", "''")) for k, c in sorted(tests))
+    QUERIES[name], SQL[name] = run, f"SELECT o_orderkey, concat_ws('|', {parts}) AS errors FROM orders"
+
+
+_schema_errors("schema_codes", {"type": "object", "properties": {"id": {"multipleOf": 2}, "status": {"enum": ["F", "O"]}, "total": {"type": "number", "minimum": 50000, "exclusiveMaximum": 200000}, "note": {"type": "string", "pattern": "^1", "maxLength": 8}, "tags": {"items": {"type": "string", "maxLength": 0}, "maxItems": 2, "contains": {"const": "P"}}, "more": {"type": "string"}}, "required": ["note", "more", "last"]}, [
+    ("id: MultipleOf<2>", "o_orderkey % 2 <> 0"), ('status: Enum<"F"|"O">', "o_orderstatus NOT IN ('F','O')"), ("total: Minimum<50000>", "o_totalprice < 50000"), ("total: ExclusiveMaximum<200000>", "o_totalprice >= 200000"),
+    ("note: Type<string>", "o_orderkey % 3 <> 0"), ("note: Pattern<^1>", "o_orderkey % 3 = 0 AND NOT o_orderpriority LIKE '1%'"), ("note: MaxLength<8>", "o_orderkey % 3 = 0 AND length(o_orderpriority) > 8"),
+    ("tags: MaxItems<2>", "true"), ("tags: Contains<min:1>", "o_orderstatus <> 'P'"), ("tags[0]: MaxLength<0>", "true"), ("tags[1]: MaxLength<0>", "true"), ("tags[2]: MaxLength<0>", "true"), ("more: Type<string>", "true"), ("last: Required<last>", "true"),
+])
+_CLOSED = {"allOf": [{"type": "object", "properties": {"id": {"type": "number"}, "status": {"const": "F"}, "tags": True}}, {"type": "object", "properties": {"total": {"maximum": 100000}}, "patternProperties": {"^n": {"maxLength": 3}}, "required": ["note"], "additionalProperties": False}]}
+_schema_errors("all_of_closed", _CLOSED, [('status: Const<"F">', "o_orderstatus <> 'F'"), ("total: Maximum<100000>", "o_totalprice > 100000"), ("note: Required<note>", "o_orderkey % 3 <> 0"), ("note: MaxLength<3>", "o_orderkey % 3 = 0")])
+_schema_errors("all_of_closed_unknown", {"allOf": [{"type": "object", "properties": {"id": True, "status": True}}, {"type": "object", "properties": {"total": True}}]}, [(": PropertyNotAllowed<tags>", "true"), (": PropertyNotAllowed<note>", "o_orderkey % 3 = 0")])
+_schema_errors("all_of_closed_strip", {"allOf": [{"type": "object", "properties": {"id": True}}, {"type": "object", "properties": {"total": {"maximum": 100000}}}]}, [("total: Maximum<100000>", "o_totalprice > 100000")], mode="strip")
+_schema_errors("unevaluated_codes", {"allOf": [{"properties": {"id": True, "status": True}}], "properties": {"tags": {"prefixItems": [True], "unevaluatedItems": {"maxLength": 0}}}, "unevaluatedProperties": False}, [
+    (": UnevaluatedProperty<total>", "true"), (": UnevaluatedProperty<note>", "o_orderkey % 3 = 0"), ("tags[1]: MaxLength<0>", "true"), ("tags[2]: MaxLength<0>", "true"),
+])
+_schema_errors("typescript_types", {"properties": {"status": {"x-typescript-type": "Date"}, "tags": {"x-typescript-type": "Set"}, "id": {"x-typescript-type": "bigint"}}}, [("status: Type<Date>", "true"), ("tags: Type<Set>", "true"), ("id: Type<bigint>", "true")])
+
+
+@query("schema_union_issues", "SELECT o_orderkey, 'Type<Union>' AS error, 'total: Maximum<50000>|status: Const<\"F\">' AS issues FROM orders WHERE o_totalprice > 50000 AND o_orderstatus <> 'F'")
+def schema_union_issues(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ORDER_JSON).alias("j"))
+    e = rows.select("o_orderkey", F.get(jsonschema.schema_errors(F.col("j"), _SCHEMAS["any_of"][0]), F.lit(0)).alias("e")).where("e IS NOT NULL")
+    return e.select("o_orderkey", F.col("e.error").alias("error"), F.array_join(F.transform("e.issues", lambda x: F.concat(x["path"], F.lit(": "), x["error"])), "|").alias("issues"))
+
+
+@query("validate_schema", """SELECT o_orderkey, o_totalprice <= 200000 AS ok, CASE WHEN o_totalprice <= 200000 THEN concat('{"id":', o_orderkey, ',"status":"', o_orderstatus, '","n":', o_orderkey % 4, ',"l":["x"],"kind":"order"}') END AS data FROM orders""")
+def validate_schema(spark, sf_dir):
+    """Coercion from query texts, a default, and unknown keys stripped."""
+    text = "to_json(named_struct('id', CAST(o_orderkey AS string), 'status', o_orderstatus, 'n', CAST(o_orderkey % 4 AS string), 'l', 'x', 'total', o_totalprice))"
+    schema = {"type": "object", "properties": {"id": {"type": "integer"}, "status": {"type": "string"}, "n": {"type": "number"}, "l": {"type": "array", "items": {"type": "string"}}, "kind": {"type": "string", "default": "order"}}, "not": {"properties": {"total": {"exclusiveMinimum": 200000}}, "required": ["total"]}}
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(text).alias("j"))
+    got = jsonschema.validate_schema(rows, "j", schema, mode="strip", from_="query")
+    return got.select("o_orderkey", F.col("_success").alias("ok"), F.col("_data").alias("data"))
+
+
 for _name, (_s, _sql) in _SCHEMAS.items():
     _schema(_name, _s, _sql)
 
@@ -359,15 +600,12 @@ _mode("relaxed")
 @query("stream_validate", "SELECT event_id, value <= 60 AS ok FROM events")
 def stream_validate(spark, sf_dir):
     """The same expressions on a file stream, run to its end into a table of the shared folder."""
-    import tempfile
-    import uuid
-
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/pactum-stream"
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     checked = api.validate(stream, T.obj(T.anything, value=T.number.maximum(60))).select("event_id", F.col("_success").alias("ok"))
     run = checked.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
     run.awaitTermination()
+    delete(spark, f"{root}/state")
     return spark.read.schema("event_id long, ok boolean").parquet(f"{root}/out")
