@@ -3,31 +3,19 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactum.shared import delete, shared_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, on one machine only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        root = os.path.join(tempfile.gettempdir(), f"pactum-{os.getuid()}")
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return root.rstrip("/")
-
-
 #: With it Spark deletes the shuffle files of a query when the query has ended, not when the driver collects garbage.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,21 +43,24 @@ class Workspace:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pactum_path = path
         self.drop(*drop)
+        if hasattr(df, "_pactum_work"):
+            df._pactum_work.close()
         return out
 
+    def lend(self, df: DataFrame) -> DataFrame:
+        """A result that still reads tables of this workspace: where it is written by cut(), they go."""
+        df._pactum_work = self
+        return df
+
     def drop(self, *frames: DataFrame | None) -> None:
         """Deletes the files behind tables that nothing reads any more."""
         for df in frames:
             if df is not None:
-                self._delete(df._pactum_path)
+                delete(self.spark, df._pactum_path)
 
     def close(self) -> None:
         """Deletes the whole folder, once no table in it is read any more."""
-        self._delete(self.root)
-
-    def _delete(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.root)
 
 
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
