@@ -5,8 +5,9 @@ word lengths, repetition), encoded by a learned layer, weighted by gated attenti
 (softmax of w . (tanh(V h) * sigmoid(U h))), and the weighted sum is scored by a logistic layer. Every passage of
 every text is read, in training and in scoring; labels, language, source and ids never enter.
 
-The model is fitted on the driver on at most SAMPLE labelled documents, those with the smallest hash of their id;
-features of the sample are what is collected. Weights are a few kilobytes and go to all tasks.
+The model is fitted on the driver on at most SAMPLE labelled documents, those with the smallest hash of their id, less
+those of more than LONGEST passages; features of the sample are what is collected, some 90 MB at most. Weights are a few
+kilobytes and go to all tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
 PASSAGE = 64
-SAMPLE = 2000
+SAMPLE, LONGEST = 2000, 512
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 24, 12, 200, 0.02, 1e-4
 
 _CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "comma", "bang", "bar", "quote", "dash", "other", "high"]
@@ -151,8 +152,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled documents that aren't held out. Null labels and ids without a document are left out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Fits on at most `sample` labelled documents that aren't held out, of at most `longest` passages each. Null labels and ids without a document are left out."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.round(F.avg("y")).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in parts:
             for row, number, x in passages(batch.column(2)):
                 at = np.cumsum(number) - number
-                for k, n in enumerate(number.tolist()):
+                for k, n in ((k, n) for k, n in enumerate(number.tolist()) if n <= longest):
                     yield pa.RecordBatch.from_arrays([batch.column(0)[row + k : row + k + 1].cast(pa.string()), batch.column(1)[row + k : row + k + 1], pa.array([x[at[k] : at[k] + n].tobytes()], pa.binary())], names=["id", "y", "x"])
 
     rows = texts.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(run, "id string, y double, x binary").collect()

@@ -32,17 +32,17 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PLAIN = re.compile(r"[^\x21-\x7e]")
 
 
-def _record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+def _record_id(page_id: int | None, digest: str, repeat: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}' + (f'/{repeat}' if repeat else ''))}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record. The target is the url with other than printable ASCII percent-encoded; none is left out."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, repeat: int = 0) -> bytes:
+    """One record; repeat: how many with the same id and payload came before. The target is the url with other than printable ASCII percent-encoded; none is left out."""
     digest = hashlib.sha256(payload).hexdigest()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
         block += payload
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, digest)), ("WARC-Date", DATE)]
+    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, digest, repeat)), ("WARC-Date", DATE)]
     if url:
         headers.append(("WARC-Target-URI", _PLAIN.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)))
     headers += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")]
@@ -84,7 +84,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Writes a record for every row to the folder, a URI that all executors reach; returns the manifest.
 
     Null html is an empty payload. Null ids come last and never are referred to while their group has an id; in a
-    group without ids the first is the response. Repeated rows: the first of those with the smallest id is the response. An empty
+    group without ids the first is the response. Repeated rows: the first of those with the smallest id is the response,
+    and each has a record id of its own. An empty
     table gives a manifest without files. Other columns are not read.
     """
     spark = pages.sparkSession
@@ -107,7 +108,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     def save(parts):
         out, mark, used, seq = None, None, False, 0
-        now = None
+        now, last, repeat = None, None, 0
         for batch in parts:
             for doc_id, digest, kind, first, url, payload, at in zip(*(batch.column(k) for k in range(7))):
                 doc_id, digest, kind, at = doc_id.as_py(), digest.as_py(), kind.as_py(), at.as_py()
@@ -120,10 +121,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     seq = 0 if now != at else seq + 1
                     now, out = at, store.write(f"pages-{at:06d}-{seq:05d}.warc.gz")
                     out.records = 0
+                repeat, last = repeat + 1 if last == (doc_id, digest) else 0, (doc_id, digest)
                 copy = mark is not None and mark[:2] == (doc_id, digest)
                 revisit = copy and (used or (mark[2] is not None and doc_id != mark[2]))
                 used = used or copy
-                out.write(gzip.compress(record(doc_id, url.as_py(), payload.as_py(), mark[2] if revisit else None, revisit), 6, mtime=0))
+                out.write(gzip.compress(record(doc_id, url.as_py(), payload.as_py(), mark[2] if revisit else None, revisit, repeat), 6, mtime=0))
                 out.records += 1
         if out is not None:
             yield _finish(out)

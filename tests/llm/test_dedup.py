@@ -91,6 +91,20 @@ def test_decontamination_equals_brute_force(spark, bound):
     assert sorted(map(tuple, got.collect())) == brute.decontaminate(rows, ITEMS)
 
 
+def test_decontamination_by_shuffle_on_the_table_and_on_odd_rows(spark):
+    """The path for benchmarks too large to broadcast: whole table, repeated and null ids, columns of its own names."""
+    docs, items = (spark.read.parquet(f"{FIXTURE}/{t}.parquet") for t in ("documents", "benchmark"))
+    for make in (lambda **o: decontaminate.digests(decontaminate.hits(docs, items, **o)), lambda **o: decontaminate.clean(docs, items, **o)):
+        assert sorted(map(str, make(broadcast_bytes=0).collect())) == sorted(map(str, make().collect()))
+    odd = spark.createDataFrame([(None, "a short item", 1, "k"), (None, "a short item", 2, None), (3, None, 3, ""), (3, "short item", 4, "")], "doc_id long, text string, found int, _key string")
+    few = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.clean(odd, few, broadcast_bytes=0)
+    assert got.columns == odd.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, decontaminate.clean(odd, few).collect())) and got.count() == 3
+    assert decontaminate.clean(odd.limit(0), few, broadcast_bytes=0).count() == 0
+    assert decontaminate.hits(odd, few.limit(0), broadcast_bytes=-1).where("n_hit > 0").count() == 0
+
+
 def test_decontamination_on_the_table(spark):
     docs, items = (spark.read.parquet(f"{FIXTURE}/{t}.parquet") for t in ("documents", "benchmark"))
     got = sorted(map(tuple, decontaminate.digests(decontaminate.hits(docs, items)).collect()))

@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 
+import brute as plain
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,22 @@ def test_quality_edges(spark, labels):
     assert quality.scores(spark.createDataFrame([], docs.schema), model).count() == 0
 
 
+def test_quality_query_equals_a_plain_version(spark):
+    """op6: the split by id, and scores worked out number by number from the texts and the weights."""
+    from pactum.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{FIXTURE}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in queries.op6_quality_classifier(spark, FIXTURE).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for k, r in enumerate(rows):
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+        if k % 4 == 0 and len(r.text or "") < 5000:
+            assert abs(got[r.doc_id].score - plain.attention(model, plain.passages(r.text))) < 1e-4
+
+
 def test_attention_gradient():
     rnd = np.random.default_rng(1)
     number = rnd.integers(1, 6, 40)

@@ -1,10 +1,12 @@
 import collections
 import hashlib
 import io
+import random
 import re
 import time
 from html.parser import HTMLParser
 
+import brute as plain
 import pytest
 
 from pactum.llm import html_text, warc
@@ -75,6 +77,43 @@ def test_layout(page, text):
     assert render(page) == text
 
 
+def random_page(rnd, depth=0):
+    """(tag, children) and texts, and the same as HTML."""
+    nodes, out = [], []
+    for _ in range(rnd.randrange(1, 4)):
+        kind = rnd.choice(["text", "text", "div", "p", "b", "ul", "ol", "table"] if depth < 3 else ["text"])
+        words = " ".join(rnd.choice(["ab", "c", "def", "gh i"]) for _ in range(rnd.randrange(1, 4)))
+        if kind == "text":
+            nodes.append(words + " ")
+            out.append(words + " ")
+        elif kind == "b":
+            nodes.append(("b", [words]))
+            out.append(f"<b>{words}</b>")
+        elif kind == "table":
+            rows = [[rnd.choice(["x", "yy y", "zzz"]) for _ in range(2)] for _ in range(rnd.randrange(1, 4))]
+            nodes.append(("table", rows))
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in rows) + "</table>")
+        elif kind in ("ul", "ol"):
+            items = [rnd.choice(["one", "two b", "three"]) for _ in range(rnd.randrange(1, 4))]
+            nodes.append((kind, items))
+            out.append(f"<{kind}>" + "".join(f"<li>{x}" for x in items) + f"</{kind}>")
+        else:
+            inner = [words] if kind == "p" else None
+            text = words
+            if inner is None:
+                inner, text = random_page(rnd, depth + 1)
+            nodes.append((kind, inner))
+            out.append(f"<{kind}>{text}</{kind}>")
+    return nodes, "".join(out)
+
+
+def test_layout_equals_a_plain_renderer():
+    rnd = random.Random(8)
+    for _ in range(400):
+        nodes, text = random_page(rnd)
+        assert render(text) == "\n".join(plain.page(("page", nodes))), text
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 50_000 + "x" + "</div>" * 50_000) == "x"
     assert render("<p>a b" * 50_000).count("a b") == 50_000
@@ -136,6 +175,22 @@ def test_warc_is_deterministic_and_rolls(spark, tmp_path):
         list(warc.records(io.BytesIO(made[0][0][1][:-30])))
 
 
+def test_columns_with_clashing_names(spark):
+    page = "<p>" + "y" * 120
+    rows = spark.createDataFrame([(1, "u", page, "t", 5, b"d", b"p"), (2, "u", page, None, 6, None, None)], PAGES + ", text string, n_lines long, digest binary, payload binary")
+    assert sorted((r.page_id, r.text, r.n_lines) for r in html_text.extract(rows).collect()) == [(1, "y" * 120, 1), (2, "y" * 120, 1)]
+    assert key(warc.round_trip(rows).collect()) == brute([(1, "u", page), (2, "u", page)])
+
+
+def test_repeated_rows_have_record_ids_of_their_own(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "z" * 200)] * 3 + [(2, "u", "a")] * 2, PAGES)
+    warc.write(rows, f"file://{tmp_path}/w", files=1)
+    with Files(f"file://{tmp_path}/w").read("pages-000000-00000.warc.gz") as f:
+        heads = [h for h, _ in warc.records(f)]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 5
+    assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} == {next(h["WARC-Record-ID"] for h in heads if h["X-Page-Id"] == "1" and h["WARC-Type"] == "response")}
+
+
 def test_warc_edges(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
     rows = [(None, "u", "y" * 100), (None, "u", "y" * 100), (4, "u", "z" * 100), (4, "u", "z" * 100), (None, "u", "z" * 100)]

@@ -150,3 +150,10 @@ def test_token_counts(spark, reference):
     assert token_counts.quantile(hist, 0.5) == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
     empty = token_counts.histogram(token_counts.lengths(spark.createDataFrame([], DOCS), RANKS, P.PATTERN))
     assert empty.count() == 0 and token_counts.quantile(empty, 0.5) is None and token_counts.truncated(empty, 5) == 0
+
+
+def test_counts_beside_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, None, None)], "doc_id long, text string, n_tokens long, docs string")
+    counted = token_counts.lengths(docs, RANKS, P.PATTERN)
+    assert sorted(map(tuple, counted.collect())) == [(1, 2), (2, 0)]
+    assert sorted(map(tuple, token_counts.histogram(counted).collect())) == [(0, 1, 1, 0, 0), (2, 1, 0, 2, 2)]
