@@ -298,10 +298,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 1.0, id_col
         return docs.mapInArrow(run, docs.schema)
     work = Workspace(docs.sparkSession, "benchmark")
     rows, key = keyed(docs, id_col, "smallest", work, whole=True)
-    texts = rows.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    some = _shuffled(texts, items, size, work).select(F.col("key").alias("_key"), "found")
-    wide = rows.join(some, F.col(f"`{key}`") == F.col("_key"), "left").select([*(F.col(f"`{c}`") for c in names), F.col("found")])
-    wide = wide.toDF(*names, "found")  # by place: a column of docs may have that name
+    at = rows.columns.index(key)
+    rows = rows.toDF(*(f"_c{k}" for k in range(len(rows.columns))))  # by place: columns of docs may have any name
+    some = _shuffled(rows.select(F.col(f"_c{at}").cast("long").alias("key"), F.col(f"_c{place}").cast("string").alias("text")), items, size, work)
+    wide = rows.join(some.select(F.col("key").alias(f"_c{at}"), "found"), f"_c{at}", "left").select(*(f"_c{k}" for k in range(len(names))), "found")
 
     def gather(parts):
         for batch in parts:
