@@ -193,7 +193,8 @@ def constraint(check: Check, t: Type, c: Column, kind: S.DataType, path: Path, o
     if check.name == "Requires":
         holds, parts = F.lit(True), []
         for wanted in check.args[0]:
-            missing = _resolve(wanted, opts).isNull()
+            # parse() looks for a key of the value itself, validate() for a path from the root or the parent.
+            missing = ~_has_key(c, kind, wanted) if opts.wire else _resolve(wanted, opts).isNull()
             holds = holds & ~missing
             parts.append(F.when(missing, error(path, c, kind, what or f"Requires<{wanted}>")).otherwise(none()))
         return holds, joined(parts)
@@ -206,8 +207,17 @@ def constraint(check: Check, t: Type, c: Column, kind: S.DataType, path: Path, o
 
         bad = F.flatten(F.transform(F.map_keys(c), lambda k: F.slice(broken(k), 1, 1)))
         return ~fails(check, t, c, kind, path, opts), bad
+    if opts.wire and t.kind == "bigint" and check.name in ("Minimum", "Maximum", "ExclusiveMinimum", "ExclusiveMaximum", "MultipleOf"):
+        return F.lit(True), none()  # parse() holds only numbers to bounds
     broken = fails(check, t, c, kind, path, opts)
-    return ~broken, F.when(F.coalesce(broken, F.lit(False)), error(path, c, kind, what or code(check))).otherwise(none())
+    said = f"Pattern<'{check.args[0]}'>" if opts.wire and check.name == "Pattern" else code(check)
+    return ~broken, F.when(F.coalesce(broken, F.lit(False)), error(path, c, kind, what or said)).otherwise(none())
+
+
+def _has_key(c: Column, kind: S.DataType, name: str) -> Column:
+    if isinstance(kind, S.MapType):
+        return F.try_element_at(c, F.lit(name)).isNotNull()
+    return c[name].isNotNull() if isinstance(kind, S.StructType) and name in kind.names else F.lit(False)
 
 
 def _resolve(path: str, opts: Options) -> Column:

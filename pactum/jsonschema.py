@@ -1041,6 +1041,8 @@ def _emit(t: Type, hoisted: dict, whole: bool = False) -> dict | bool:
         out = {"type": "array", "items": [json_schema(i) for i in t.items], "minItems": len(t.items), "maxItems": len(t.items)}
     elif k == "record":
         out = {"type": "object", "additionalProperties": json_schema(t.items[1])}
+    elif k == "union" and {True, False} == {i.value for i in t.items if i.kind == "literal" and isinstance(i.value, bool)} and len(t.items) == 2:
+        out = {"type": "boolean"}
     elif k == "union":
         out = {"anyOf": [json_schema(i) for i in t.items]}
     elif k == "all":

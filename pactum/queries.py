@@ -312,6 +312,11 @@ _parsed("parse_query_record", [("m[a]=1&m[b]=2", '{"m":{"a":1.0,"b":2.0}}', None
 _parsed("parse_regexp", [('{"r":"/a+/gi"}', '{"r":{"source":"a+","flags":"gi"}}', None, None), ('{"r":{"source":"b"}}', '{"r":{"source":"b","flags":""}}', None, None), ('{"r":"a"}', None, "r", "Type<RegExp>"), ('{"r":"/(/"}', None, "r", "Type<RegExp>")], T.obj(r=T.regexp))
 
 
+_parsed("parse_own_rules", [
+    ('{"p":"b","z":3,"o":{"k":1},"g":"5"}', '{"p":"b","z":3.0,"o":{"k":1.0},"g":5}', None, None), ('{"p":"a","z":3,"o":{"k":1},"g":"5"}', None, "p", "Pattern<'^b'>"), ('{"p":"b","z":3,"o":{},"g":"5"}', None, "o", "Requires<k>"),
+], T.obj(p=T.string.pattern("^b"), z=T.number.multiple_of(0), o=T.obj(k=T.number.opt()).requires("k"), g=T.bigint.minimum(9)))
+
+
 @query("parse_reviver", "SELECT event_id, event_id % 3 <> 2 AS ok, CASE WHEN event_id % 3 = 2 THEN 'a.b' END AS path, CASE WHEN event_id % 3 = 2 THEN 'no' END AS message, CASE WHEN event_id % 3 <> 2 THEN '{\"a\":{\"b\":' || (event_id + 1) || '.0}}' END AS data FROM events")
 def parse_reviver(spark, sf_dir):
     """Numbers grow by one, members named gone go, a text raises."""

@@ -157,6 +157,26 @@ def test_query_strings_agree(spark):
             assert json.loads(r.j) == parse.parse_query(r.q), r.q
 
 
+def test_checks_one_by_one(spark):
+    from pactum import checks
+
+    df = spark.createDataFrame([("ab", 4.0, ["a", "a"], {"k": 1}), (None, None, None, None), ("abcd", 7.5, ["b"], {})], "s string, n double, l array<string>, m map<string,int>")
+    m = df.schema["m"].dataType
+    got = df.select(
+        checks.min_length(F.col("s"), 3), checks.max_length(F.col("s"), 3), checks.pattern(F.col("s"), "b$"), checks.format(F.col("s"), "byte"), checks.minimum(F.col("n"), 5), checks.maximum(F.col("n"), 5), checks.exclusive_minimum(F.col("n"), 4),
+        checks.exclusive_maximum(F.col("n"), 4), checks.multiple_of(F.col("n"), 2), checks.min_items(F.col("l"), 2), checks.max_items(F.col("l"), 1), checks.unique_items(F.col("l")), checks.contains(F.col("l"), T.literal("b")),
+        checks.min_properties(F.col("m"), 1, m), checks.max_properties(F.col("m"), 0, m), checks.property_names(F.col("m"), T.string.max_length(0), m), checks.literal(F.col("s"), S.StringType(), "ab"), checks.union(F.col("s"), S.StringType(), T.literal("x"), T.string.min_length(4)),
+    ).collect()
+    assert [tuple(r) for r in got] == [
+        (False, True, True, False, False, True, False, False, True, True, False, False, False, True, False, False, True, False), (None,) * 18,
+        (True, False, False, True, True, False, True, False, False, False, True, True, True, False, True, True, False, True),
+    ]
+
+
+def test_boolean_unions_are_booleans():
+    assert jsonschema.json_schema(T.union(True, False)) == {"type": "boolean"} and "anyOf" in jsonschema.json_schema(T.union(True, "x"))
+
+
 def test_output_types_follow_defaults():
     t = T.obj(a=T.string.with_default("x"), b=T.string.opt())
     assert [f.nullable for f in jsonschema.to_struct_type(T.resolve_defaults(t)).fields] == [False, True]
