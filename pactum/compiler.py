@@ -48,6 +48,7 @@ class Compiled:
     data: Column
     errors: Column | None
     kind: S.DataType
+    plain: bool = False  # may hold UDFs
 
 
 def none() -> Column:
@@ -264,12 +265,18 @@ TRANSFORMS = {
 
 def to_number(c: Column, wire: bool = False) -> Column:
     """The number that a whole text is, else null. Hexadecimal, octal and binary forms are numbers to parse() only."""
-    t = TRANSFORMS["Trim"](c)
-    value = F.when(t.rlike(NUMBER), t.try_cast("double"))
-    if wire:
+    decimal = lambda t: F.when(t.rlike(NUMBER), t.try_cast("double"))
+    finite = lambda n: F.when(F.abs(n) != float("inf"), n)
+    if not wire:
+        return finite(decimal(TRANSFORMS["Trim"](c)))
+
+    def read(t: Column) -> Column:
+        value = decimal(t)
         for mark, digits, base in (("xX", "0-9a-fA-F", 16), ("oO", "0-7", 8), ("bB", "01", 2)):
             value = F.coalesce(value, F.when(t.rlike(rf"\A0[{mark}][{digits}]+\z"), F.conv(F.substring(t, 3, 2147483647), base, 10).try_cast("double")))
-    return F.when(F.abs(value) != float("inf"), value)
+        return value
+
+    return let(let(TRANSFORMS["Trim"](c), read), finite)
 
 
 def to_boolean(c: Column, wire: bool = False) -> Column:

@@ -132,8 +132,10 @@ def is_json(c: Column) -> Column:
     """Whether a whole text is one JSON value; the parser alone would ignore what follows the first."""
     whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit(',"e":1}')))
-    one = F.try_variant_get(whole, "$[1]", "variant").isNull() & F.try_variant_get(whole, "$[0]", "variant").isNotNull()
-    return F.coalesce(F.try_parse_json(c).isNotNull() & one & F.try_variant_get(inside, "$.e", "int").isNotNull(), F.lit(False))
+    one = lambda w: F.try_variant_get(w, "$[1]", "variant").isNull() & F.try_variant_get(w, "$[0]", "variant").isNotNull()
+    # A text that ends as an object or list does, and has neither's end elsewhere, can't go on behind its value.
+    plain = c.rlike(r"\A\s*(?:\{[^{}\[\]]*\}|\[[^{}\[\]]*\])\s*\z")
+    return F.coalesce(F.try_parse_json(c).isNotNull() & (plain | (one(whole) & F.try_variant_get(inside, "$.e", "int").isNotNull())), F.lit(False))
 
 
 #: What a reviver or replacer returns for a member that goes.
@@ -190,6 +192,7 @@ def parse(c: Column, t: Type, from_: str = "json", mode: str = "strip", transfor
         if t.kind in ("object", "record", "map", "array", "set", "tuple"):
             raise ContractError("from 'string' takes one scalar")
         value = compile_column(c, S.StringType(), t, mode=mode, from_="string", transform=transform, wire=True)
+        value.plain = True
         return _outcome(value, c.isNotNull(), "Type<string>", None)
     source = query_to_json(c) if from_ == "query" else c
     revived = None
@@ -199,6 +202,7 @@ def parse(c: Column, t: Type, from_: str = "json", mode: str = "strip", transfor
     def checked(text: Column, v: Column, walked: Column | None) -> Column:
         good, refused = (text.isNotNull(), "Invalid query") if from_ == "query" else (is_json(text), "Invalid JSON")
         value = compile_column(v, S.VariantType(), t, mode=mode, from_=from_, transform=transform, wire=True)
+        value.plain = transform is not None or has_udf(t)
         return _outcome(value, good, refused, walked)
 
     if transform is not None or has_udf(t):
@@ -211,12 +215,12 @@ def parse(c: Column, t: Type, from_: str = "json", mode: str = "strip", transfor
 
 
 def _outcome(value, good: Column, refused: str, walked: Column | None) -> Column:
-    """ok, the data, or the first error."""
+    """ok, the data, or the first error. Whether it is ok is worked out once; the errors only where it isn't."""
     wrong = F.when(~good, F.struct(F.lit("").alias("path"), F.lit(refused).alias("message")))
     ok = good & F.coalesce(value.ok, F.lit(False))
     if walked is not None:
         broken = walked["message"].isNotNull()
         wrong, ok = wrong.when(broken, F.struct(walked["path"].alias("path"), walked["message"].alias("message"))), ok & ~broken
-    first = F.get(value.errors, F.lit(0))
-    last = F.struct(first["path"].alias("path"), first["error"].alias("message"))
-    return F.struct(ok.alias("ok"), F.when(ok, value.data).alias("data"), F.when(~ok, wrong.otherwise(last)).alias("error"))
+    first = let(F.get(value.errors, F.lit(0)), lambda e: F.struct(e["path"].alias("path"), e["error"].alias("message")))
+    made = lambda ok: F.struct(ok.alias("ok"), F.when(ok, value.data).alias("data"), F.when(~ok, wrong.otherwise(first)).alias("error"))
+    return made(ok) if value.plain else let(ok, made)
