@@ -59,5 +59,7 @@ def components(edges: DataFrame, rows: int, work: Workspace, label: str = "stars
         edges = work.cut(_stars(edges), label, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", "a").cast("decimal(38,0)"))).first()
         if now == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out._pactum_path = edges._pactum_path
+            return out
         seen, before = now, edges

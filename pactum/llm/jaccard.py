@@ -10,8 +10,9 @@
 3. Each batch orders the shingles of a document by (frequency, hash). The n - ceil(t n) + 1 first ones are its prefix;
    two sets with similarity t share a shingle of both prefixes. A prefix shingle of several classes is a posting list.
 4. Rounds: in every list each member is paired with one leader, not with each other; pairs inside a component are
-   left out. Pairs that pass the filters are verified against the whole sets, and links merge components.
-5. What can still link lies in lists with several components: members outside the list's largest component are
+   left out. Pairs that pass the filters are verified against the whole sets, and links merge components. Then the
+   leader leaves the list, and lists of one component are done.
+5. What can still link lies in the lists that are left: members outside the list's largest component are
    joined with the members of other components that have about their length. After that no link between different
    components is left, so the components are exact.
 6. linked() then compares the whole sets of all pairs of classes inside a component, where all links are: its classes
@@ -35,15 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.llm.components import components
-from pactum.llm.store import Workspace, keyed
+from pactum.llm.store import Workspace, keyed, tidied
 from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
 #: At most so many frequent shingles, of 16 bytes, go to the driver and are broadcast.
 FREQUENT_BITS = 18
 #: A shingle is frequent in a batch from one in so many of its documents on, and from LEAST documents.
 SHARE, LEAST = 1024, 16
-#: Shingles of a batch, about 16 MB, and documents of a batch, numbered by 16 bits.
-BATCH_SHINGLES, BATCH_ROWS = 1 << 21, 1 << 16
+#: Shingles of a batch, about 8 MB, and documents of a batch, numbered by 16 bits.
+BATCH_SHINGLES, BATCH_ROWS = 1 << 20, 1 << 16
 #: At most so many ids of 8 bytes are broadcast; beyond, Spark joins by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members that are verified against a leader in one group.
@@ -129,7 +130,7 @@ def _describe(texts: DataFrame, size: int) -> DataFrame:
             columns += [pa.array(np.concatenate([np.zeros(len(ids), np.int64), x.astype(np.int64)])) for x in (tokens, seen)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "f1", "f2", "token", "seen"])
 
-    return texts.mapInArrow(run, "id long, n long, f1 long, f2 long, token long, seen long")
+    return texts.mapInArrow(tidied(run), "id long, n long, f1 long, f2 long, token long, seen long")
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +229,9 @@ def _entries(texts: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
         if held:
             yield _prefixes(held, percent)
 
-    dealt = texts.mapInArrow(deal, _PACKED).repartitionById(ranges, F.col("part").cast("int"))
-    counted = dealt.mapInArrow(count, _PACKED).repartitionById(ranges, F.col("home").cast("int"))
-    return counted.sortWithinPartitions("batch").mapInArrow(order, "token long, id long, n long, pos long, " + ", ".join(f"{s} long" for s in _SIGNATURE))
+    dealt = texts.mapInArrow(tidied(deal), _PACKED).repartitionById(ranges, F.col("part").cast("int"))
+    counted = dealt.mapInArrow(tidied(count), _PACKED).repartitionById(ranges, F.col("home").cast("int"))
+    return counted.sortWithinPartitions("batch").mapInArrow(tidied(order), "token long, id long, n long, pos long, " + ", ".join(f"{s} long" for s in _SIGNATURE))
 
 
 def _prefixes(rows: list[tuple], percent: int) -> pa.RecordBatch:
@@ -270,7 +271,7 @@ def _own(texts: DataFrame, ids: DataFrame, size: int, work: Workspace) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([own.tobytes() for own in sets], pa.large_binary()).cast(pa.binary())], names=["id", "own"])
 
     few = ids.count() <= BROADCAST_IDS
-    return work.cut(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(collect, "id long, own binary"), "own")
+    return work.cut(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(tidied(collect), "id long, own binary"), "own")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -298,7 +299,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield batch.select([0, 2]).filter(pa.array(keep))
 
     placed = rest.unionByName(lead).repartition(parts, "a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
-    return placed.mapInArrow(test, "a long, b long")
+    return placed.mapInArrow(tidied(test), "a long, b long")
 
 
 class _Join:
@@ -327,36 +328,37 @@ class _Join:
         if self.entries:
             self._components()
 
-    def _now(self) -> DataFrame:
-        """The lists with the components known so far."""
-        if self.comps is None:
-            return self.lists.withColumn("comp", F.col("id"))
-        return self.lists.join(self.comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-
     def _components(self) -> None:
         self.sets = _own(self.texts, self.lists.select("id").distinct(), self.size, self.work)
-        x, y = F.col("x.token"), F.col("y.token")
+        # A column beyond those of an entry: the component known so far.
+        lists, x, y = self.lists.withColumn("comp", F.col("id")), F.col("x.token"), F.col("y.token")
+        lists._pactum_path = self.lists._pactum_path
         for turn in range(ROUNDS):
-            now = self._now()
-            if turn:
-                parts = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
-                if (parts.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0) <= 4 * self.entries:
-                    break
-            lead = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp", *_SIGNATURE), F.xxhash64("id", F.lit(turn))).alias("lead")).select("token", "lead.*")
-            pairs = now.alias("x").join(lead.alias("y"), (x == y) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", self.percent))
-            if not self._step(pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))) and not turn:
+            lead = lists.groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp", *_SIGNATURE), F.xxhash64("id", F.lit(turn))).alias("lead"), F.count("*").alias("k")).select("token", "k", "lead.*")
+            lead = self.work.cut(lead, "leaders")
+            pairs = lists.alias("x").join(lead.alias("y"), (x == y) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", self.percent))
+            self._step(pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
+            # A leader has met all of its list and leaves it; a list of one component is done.
+            rest = lists.join(lead.where("k > 2").select("token", F.col("id").alias("lead")), "token").where("id <> lead").drop("lead")
+            if self.comps is not None:
+                rest = rest.drop("comp").join(self.comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+            rest = self.work.cut(rest.select("token", "id", "n", "pos", *_SIGNATURE, "comp"), "rest", lists, lead)
+            parts = rest.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main")).where("all > most")
+            parts = self.work.cut(parts, "parts")
+            lists = self.work.cut(rest.join(parts.select("token"), "token", "left_semi"), "lists", rest)
+            left = parts.agg(F.sum(F.col("all") * (F.col("all") - F.col("most")))).first()[0] or 0
+            if left <= 4 * self.entries:
                 break
-        now = self._now()
-        main = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("parts"))
-        # Sets that link have lengths in the same or the next step of a ladder.
-        step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / self.percent) * 1.000001 if self.percent < 100 else 1e-9)).cast("long")
-        left = self.work.cut(now.join(main.where("parts > 1").select("token", "main"), "token").withColumn("step", step), "open")
-        near = left.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
-        once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-        alike = (x == y) & (F.col("x.step") == F.col("y.step")) & (F.col("x.comp") != F.col("y.comp"))
-        pairs = left.where("comp <> main").alias("x").join(near.alias("y"), alike & once & _may_link("x", "y", self.percent))
-        self._step(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        self.work.drop(left, self.lists, *(self.tested or []), *(self.links or []))
+        if left:
+            # Sets that link have lengths in the same or the next step of a ladder.
+            step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / self.percent) * 1.000001 if self.percent < 100 else 1e-9)).cast("long")
+            open_ = lists.join(parts.select("token", "main"), "token").withColumn("step", step)
+            near = open_.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
+            once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+            alike = (x == y) & (F.col("x.step") == F.col("y.step")) & (F.col("x.comp") != F.col("y.comp"))
+            pairs = open_.where("comp <> main").alias("x").join(near.alias("y"), alike & once & _may_link("x", "y", self.percent))
+            self._step(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        self.work.drop(lists, parts, *(self.tested or []), *(self.links or []))
 
     def _step(self, pairs: DataFrame) -> int:
         """Verifies the pairs not tested before, merges components; the number of links."""
@@ -370,8 +372,9 @@ class _Join:
         links = self.work.cut(_verify(pairs, self.sets, self.percent), "links")
         found = links.count()
         if found:
-            self.links, self.found = [*(self.links or []), links], self.found + found
+            self.links, self.found, before = [*(self.links or []), links], self.found + found, self.comps
             self.comps = components(reduce(DataFrame.unionByName, self.links), self.found, self.work)
+            self.work.drop(before)
         return found
 
 
@@ -458,7 +461,7 @@ def _links(did: _Join) -> DataFrame:
         if held:
             yield _counted(held, percent)
 
-    counts = dealt.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    counts = dealt.mapInArrow(tidied(count), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     return work.cut(counts, "counts")
 
 
