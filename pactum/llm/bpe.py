@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pactum.llm.store import tidied
 from pactum.llm.units import KEPT, Encoder, id_lists, slices
 
 _WORD = 8  # bits of a rank that index a lower word
@@ -196,7 +197,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], id_lists(ids, ends), codec.decode(ids, ends)], names=["id", "ids", "decoded"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.store import Workspace, keyed
+from pactum.llm.store import Workspace, keyed, tidied
 from pactum.llm.words import MARKS, batches, grams, utf8
 
 SIZE = 10
@@ -158,7 +158,7 @@ def _shuffled(rows: DataFrame, items: DataFrame, size: int, work: Workspace) ->
                     names=["length", "hash", "window", "name"],
                 )
 
-    windows = work.cut(items.mapInArrow(split, "length int, hash long, window binary, name string").distinct(), "windows")
+    windows = work.cut(items.mapInArrow(tidied(split), "length int, hash long, window binary, name string").distinct(), "windows")
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())
     bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_EACH * windows.count()).bit_length()))
     known = rows.sparkSession.sparkContext.broadcast(_bitmap(windows, bits))
@@ -187,7 +187,7 @@ def _shuffled(rows: DataFrame, items: DataFrame, size: int, work: Workspace) ->
                             names=["key", "length", "hash", "window", "a", "b", "s", "e"],
                         )
 
-    seen = rows.mapInArrow(look, "key long, length int, hash long, window binary, a long, b long, s long, e long")
+    seen = rows.mapInArrow(tidied(look), "key long, length int, hash long, window binary, a long, b long, s long, e long")
     found = work.cut(seen.join(windows, ["length", "hash", "window"]).select("key", "a", "b", "s", "e", "name"), "found", windows)
     spans = found.select("key", F.struct("a", "b", "s", "e").alias("span")).distinct().groupBy("key").agg(F.collect_list("span").alias("found"))
     names = found.select("key", "name").distinct().groupBy("key").agg(F.sort_array(F.collect_list("name")).alias("items"))
@@ -242,7 +242,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 if batch.num_rows:
                     yield _rows(batch.column(0), list(scan(batch.column(1), known.value)))
 
-        return rows.mapInArrow(run, made).withColumnRenamed("id", id_col)
+        return rows.mapInArrow(tidied(run), made).withColumnRenamed("id", id_col)
     work = Workspace(docs.sparkSession, "benchmark")
     rows, key = keyed(rows, "id", "smallest", work, whole=True)
     rows = rows.withColumn("key", F.col(key).cast("long"))
@@ -256,7 +256,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 words = [n for _, n, _, _ in scan(batch.column(1), Windows([], size))]
                 yield _rows(batch.column(0), [(k, words[k], _merge([(x["a"], x["b"], x["s"], x["e"]) for x in spans[k] or ()]), set(names[k] or ())) for k in range(batch.num_rows)])
 
-    return work.lend(wide.mapInArrow(gather, made).withColumnRenamed("id", id_col))
+    return work.lend(wide.mapInArrow(tidied(gather), made).withColumnRenamed("id", id_col))
 
 
 def _rows(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
@@ -282,7 +282,8 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the hit spans of their texts; a document goes when drop_share or more of its words are hit.
 
-    One pass over the rows, all columns pass through. Texts without hits stay as they are, null too.
+    One pass over the rows, all columns pass through. Texts without hits stay as they are, null too. Rows with null or
+    repeated ids are rows of their own; without items nothing goes; an empty table gives none.
     """
     items = _items(benchmark, item_col, item_text_col)
     known = load(items, size, broadcast_bytes)
@@ -295,7 +296,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 1.0, id_col
                     found = {row: (n, spans) for row, n, spans, _ in scan(batch.column(place), known.value) if spans}
                     yield from _cleaned(batch, place, found, drop_share)
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidied(run), docs.schema)
     work = Workspace(docs.sparkSession, "benchmark")
     rows, key = keyed(docs, id_col, "smallest", work, whole=True)
     at = rows.columns.index(key)
@@ -311,7 +312,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 1.0, id_col
                 found = {row: (words[row], _merge([(x["a"], x["b"], x["s"], x["e"]) for x in got])) for row, got in enumerate(spans) if got}
                 yield from _cleaned(batch.select(range(len(names))), place, found, drop_share)
 
-    return work.lend(wide.mapInArrow(gather, docs.schema))
+    return work.lend(wide.mapInArrow(tidied(gather), docs.schema))
 
 
 def _cleaned(batch: pa.RecordBatch, place: int, found: dict[int, tuple[int, list]], drop_share: float) -> Iterator[pa.RecordBatch]:

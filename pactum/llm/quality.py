@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactum.llm.store import tidied
 from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
 PASSAGE = 64
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for k, n in ((k, n) for k, n in enumerate(number.tolist()) if n <= longest):
                     yield pa.RecordBatch.from_arrays([batch.column(0)[row + k : row + k + 1].cast(pa.string()), batch.column(1)[row + k : row + k + 1], pa.array([x[at[k] : at[k] + n].tobytes()], pa.binary())], names=["id", "y", "x"])
 
-    rows = texts.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(run, "id string, y double, x binary").collect()
+    rows = texts.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(tidied(run), "id string, y double, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
     return fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES)), np.array([len(b) for b in bags], np.int64), np.array([r.y for r in rows]))
@@ -181,7 +182,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for row, number, x in passages(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[row : row + len(number)], pa.array(sent.value.score(x, number).astype(np.float64))], names=["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -196,4 +197,4 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text", least: float =
                 if out.num_rows:
                     yield out
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,35 @@ class Workspace:
         delete(self.spark, self.root)
 
 
+#: Megabytes of a worker from which on it gives back what it has freed.
+TIDY_MB = 200
+
+
+def tidied(run):
+    """A function of a task's batches that, when the task has ended, gives freed memory back to the system: workers live
+    on, and what one has once used would stay with it."""
+
+    @functools.wraps(run)
+    def again(parts):
+        try:
+            yield from run(parts)
+        finally:
+            _release()
+
+    return again
+
+
+def _release() -> None:
+    try:
+        with open("/proc/self/statm") as f:
+            large = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") > TIDY_MB << 20
+        if large:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another system
+        pass
+
+
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.store import Workspace
+from pactum.llm.store import Workspace, tidied
 from pactum.llm.units import Encoder, in_runs, slices
 
 #: Lengths in a block of the running sums.
@@ -45,7 +45,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 _, ends = encoder.ids(batch.column(1)[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(ends, prepend=0), pa.int64())], names=["id", "n_tokens"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def histogram(counted: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.store import Files, Workspace
+from pactum.llm.store import Files, Workspace, tidied
 from pactum.llm.units import Encoder, in_runs, slices
 
 FRAME_IDS = 1 << 20
@@ -170,9 +170,9 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "d
         if writer is not None:
             yield _finish(writer)
 
-    coded = rows.mapInArrow(encode, "part int, id long, n long, frames array<binary>, checks array<long>")
+    coded = rows.mapInArrow(tidied(encode), "part int, id long, n long, frames array<binary>, checks array<long>")
     placed = coded.repartitionById(files, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "n", F.col("checks"))
-    done = sorted(placed.mapInArrow(save, "part int, documents long, tokens long, bytes long").collect())
+    done = sorted(placed.mapInArrow(tidied(save), "part int, documents long, tokens long, bytes long").collect())
     manifest, first = [], 0
     for part, documents, tokens, size in done:
         manifest.append({"name": f"tokens-{part:06d}.zst", "first": first, "documents": documents, "tokens": tokens, "bytes": size})
@@ -215,7 +215,7 @@ def read(spark, folder: str) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long, file string")
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(tidied(run), "id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
