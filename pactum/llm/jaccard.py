@@ -41,6 +41,8 @@ from pactum.llm.words import BLANKS, batches, grams, mix, utf8
 
 #: At most so many frequent shingles, of 16 bytes, go to the driver and are broadcast.
 FREQUENT_BITS = 18
+#: Added to the counts of frequent shingles; exact frequencies stay below.
+FREQUENT = 1 << 31
 #: A shingle is frequent in a batch from one in so many of its documents on, and from LEAST documents.
 SHARE, LEAST = 1024, 16
 #: Shingles of a batch, about 8 MB, and documents of a batch, numbered by 16 bits.
@@ -140,7 +142,8 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = rows.where("seen > 0").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).toArrow()
     tokens, seen = found["token"].to_numpy(), found["seen"].to_numpy()
     order = np.argsort(tokens)
-    return tokens[order].astype(np.uint64), np.minimum(seen[order], 1 << 31).astype(np.uint32)
+    # Above all exact frequencies, so that these shingles come last.
+    return tokens[order].astype(np.uint64), np.minimum(seen[order], FREQUENT - 1).astype(np.uint32) + np.uint32(FREQUENT)
 
 
 _PACKED = "part long, home long, batch long, head boolean, body binary, counts binary"
@@ -190,7 +193,7 @@ def _entries(texts: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
             needed = (prefix_length(lengths, percent) > rest)[(packed[often_here] & _NUMBER).astype(np.int64)]
             heavy, counts = packed[often_here[needed]], seen[at[often_here[needed]]]
             home, batch = (task + k) % ranges, (task << 32) + k
-            head = np.concatenate([[len(ids)], ids, lengths, *_marks(sets)]).astype(np.int64).tobytes()
+            head = np.concatenate([[len(ids)], ids, lengths, rest, *_marks(sets)]).astype(np.int64).tobytes()
             yield _packed([(home, home, batch, True, head, b"")] + [(home, home, batch, True, heavy.tobytes(), counts.tobytes())] * bool(len(heavy)))
             packed = packed[~often]
             cuts = np.searchsorted((packed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
@@ -212,7 +215,7 @@ def _entries(texts: DataFrame, size: int, percent: int, frequent: tuple[np.ndarr
             tokens = np.sort(np.concatenate([x for _, x in blocks]) >> np.uint64(16))
             starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             seen = np.diff(np.append(starts, len(tokens)))
-            tokens, seen = tokens[starts[seen > 1]], np.minimum(seen[seen > 1], 1 << 31).astype(np.uint32)
+            tokens, seen = tokens[starts[seen > 1]], np.minimum(seen[seen > 1], FREQUENT - 1).astype(np.uint32)
             for (_, home, name, _, _, _), packed in blocks:
                 here, at = _matches(tokens, packed >> np.uint64(16))
                 if here.any():
@@ -238,7 +241,7 @@ def _prefixes(rows: list[tuple], percent: int) -> pa.RecordBatch:
     """The entries of a batch's documents from its rows (batch, head, body, counts)."""
     documents = np.frombuffer(next(body for _, head, body, counts in rows if head and not counts), np.int64)
     total = int(documents[0])
-    ids, n, *marks = documents[1:].reshape(2 + len(_SIGNATURE), total)
+    ids, n, rest, *marks = documents[1:].reshape(3 + len(_SIGNATURE), total)
     shared = [(body, counts) for _, _, body, counts in rows if counts]
     packed = np.concatenate([np.frombuffer(b, np.uint64) for b, _ in shared] or [np.zeros(0, np.uint64)])
     seen = np.concatenate([np.frombuffer(c, np.uint32) for _, c in shared] or [np.zeros(0, np.uint32)])
@@ -246,8 +249,9 @@ def _prefixes(rows: list[tuple], percent: int) -> pa.RecordBatch:
     rank = np.lexsort((packed, seen, owner))
     owner, packed = owner[rank], packed[rank]
     many = np.bincount(owner, minlength=total)
-    # Shingles that no other document has come first.
-    pos = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + (n - many)[owner]
+    # Shingles that no other document has come first: of those that aren't frequent the ones that didn't come back.
+    alone = rest - np.bincount(owner[seen[rank] < FREQUENT], minlength=total)
+    pos = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + alone[owner]
     keep = pos < prefix_length(n, percent)[owner]
     owner = owner[keep]
     columns = [(packed[keep] >> np.uint64(16)).view(np.int64), ids[owner], n[owner], pos[keep], *(m[owner] for m in marks)]

@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 from test_dedup import DOCS, FIXTURE, near_copies
@@ -73,6 +75,26 @@ def test_frequent_shingles_and_many_batches(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.linked(docs).collect())) == wanted
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_near_copies_beside_frequent_shingles(spark, monkeypatch, share):
+    """Documents that share a long common passage, of which some are near copies in their own words: frequent shingles are
+    in every set, and in the prefix of some."""
+    monkeypatch.setattr(jaccard, "LEAST", 1)
+    rnd = random.Random(2)
+    word = lambda: "w%d" % rnd.randrange(3000)
+    common, rows = " ".join(word() for _ in range(60)), []
+    for k in range(60):
+        own = [word() for _ in range(int(60 * (1 - share) / share))]
+        for j in range(3):
+            copy = list(own)
+            for _ in range(j):
+                copy[rnd.randrange(len(copy))] = word()
+            rows.append((10 * k + j, common + " " + " ".join(copy)))
+    docs = spark.createDataFrame(rows, DOCS)
+    for size, percent in ((4, 85), (5, 80)):
+        assert sorted(map(tuple, jaccard.linked(docs, size=size, percent=percent).collect())) == links(rows, size, percent)
+
+
 def test_more_edges_than_one_task_takes(spark, monkeypatch):
     from pactum.llm import components
     from pactum.llm.store import Workspace
