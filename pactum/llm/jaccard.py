@@ -286,7 +286,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lead = lead.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("b"), "own")
     rest = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), "b")
     rest = rest.join(sets.select(F.col("id").alias("b"), "own"), "b").select("a", "group", "b", "own")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def test(parts):
         lead = None
@@ -302,7 +301,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if keep.any():
                 yield batch.select([0, 2]).filter(pa.array(keep))
 
-    placed = rest.unionByName(lead).repartition(parts, "a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
+    # Without a number of partitions: few pairs go to few tasks, and leave few files.
+    placed = rest.unionByName(lead).repartition("a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
     return placed.mapInArrow(tidied(test), "a long, b long")
 
 
@@ -448,7 +448,7 @@ def _links(did: _Join) -> DataFrame:
     sets = sets.join(many, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     key = ["component", "i", "j"]
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "size", "own")
-    dealt = dealt.repartition(int(did.texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def count(parts):
         held, now = [], None

@@ -35,10 +35,11 @@ def test_jaccard_equals_brute_force(spark, size, percent):
     assert sorted(map(tuple, got)) == brute.jaccard(rows, size, percent)
 
 
-def test_jaccard_on_the_table(spark):
-    docs = spark.read.parquet(f"{FIXTURE}/documents.parquet")
+@pytest.mark.parametrize(("folder", "size", "percent"), [(FIXTURE, 4, 85), ("/root/testdata/sf0.01", 4, 85), ("/root/testdata/sf0.01", 5, 80)])
+def test_jaccard_on_the_table(spark, folder, size, percent):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(map(tuple, jaccard.join(docs, size=4, percent=85).collect())) == brute.jaccard(rows, 4, 85)
+    assert sorted(map(tuple, jaccard.join(docs, size=size, percent=percent).collect())) == brute.jaccard(rows, size, percent)
 
 
 def test_jaccard_dedup_keeps_columns_and_one_of_each(spark):
