@@ -526,6 +526,17 @@ def json_schema_emit(spark, sf_dir):
     return spark.range(1).select(F.lit(json.dumps(jsonschema.json_schema(T.obj(a=T.string.min_length(2), b=T.number.opt())))).alias("schema"))
 
 
+@query("json_schema_defs", """SELECT '["Type1"]' AS names, '#/$defs/Type1' AS x, '{"anyOf": [{"$ref": "#/$defs/Type1"}, {"type": "null"}]}' AS y, 70 AS properties, 'object' AS z""")
+def json_schema_defs(spark, sf_dir):
+    """An object of 71 types that stands twice is hoisted, a small one isn't."""
+    import json
+
+    small, big = T.obj(a=T.string), T.obj(**{f"k{k}": T.number for k in range(70)})
+    out = jsonschema.json_schema(T.obj(x=big, y=big.null(), z=small, w=small))
+    parts = {"names": json.dumps(list(out["$defs"])), "x": out["properties"]["x"]["$ref"], "y": json.dumps(out["properties"]["y"]), "z": out["properties"]["z"]["type"]}
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in parts.items()), F.lit(len(out["$defs"]["Type1"]["properties"])).alias("properties"))
+
+
 @query("parse_json", "SELECT event_id, json_extract(props, '$.k')::double <= 50 AS ok, CASE WHEN json_extract(props, '$.k')::double <= 50 THEN json_extract(props, '$.k')::double END AS k FROM events")
 def parse_json(spark, sf_dir):
     got = _table(spark, sf_dir, "events").select("event_id", parse.parse(F.col("props"), T.obj(k=T.number.maximum(50))).alias("p"))
