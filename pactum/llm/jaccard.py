@@ -50,7 +50,7 @@ BATCH_SHINGLES, BATCH_ROWS = 1 << 20, 1 << 16
 #: At most so many ids of 8 bytes are broadcast; beyond, Spark joins by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members that are verified against a leader in one group.
-FOLLOWERS = 1024
+FOLLOWERS = 256
 #: About so many classes, and shingles, of a component are one block.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
 #: Columns of the matrices whose product counts shared shingles.
